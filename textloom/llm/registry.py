@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import line_dedup, mixing
+from textloom.llm import byte_bpe, line_dedup, mixing
 from textloom.llm.common import documents
 
 
@@ -10,6 +10,7 @@ def queries() -> dict:
     return {
         "op1_cube_mixing": lambda spark, sf: mixing.digest(documents(spark, sf)),
         "op2_line_dedup": lambda spark, sf: line_dedup.digest(documents(spark, sf)),
+        "op4_byte_bpe": lambda spark, sf: byte_bpe.digest(documents(spark, sf)),
     }
 
 
