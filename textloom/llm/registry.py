@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import byte_bpe, line_dedup, mixing
+from textloom.llm import byte_bpe, language_id, line_dedup, mixing, repetition, toxicity
 from textloom.llm.common import documents
 
 
@@ -11,6 +11,9 @@ def queries() -> dict:
         "op1_cube_mixing": lambda spark, sf: mixing.digest(documents(spark, sf)),
         "op2_line_dedup": lambda spark, sf: line_dedup.digest(documents(spark, sf)),
         "op4_byte_bpe": lambda spark, sf: byte_bpe.digest(documents(spark, sf)),
+        "op5_language_id": lambda spark, sf: language_id.digest(documents(spark, sf)),
+        "op6_repetition": lambda spark, sf: repetition.digest(documents(spark, sf)),
+        "op9_toxicity": lambda spark, sf: toxicity.digest(documents(spark, sf), documents(spark, sf, "labels")),
     }
 
 
