@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import byte_bpe, language_id, line_dedup, mixing, near_dedup, repetition, toxicity
+from textloom.llm import byte_bpe, language_id, line_dedup, mixing, near_dedup, repetition, suffix_dedup, toxicity
 from textloom.llm.common import documents
 
 
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_language_id": lambda spark, sf: language_id.digest(documents(spark, sf)),
         "op6_repetition": lambda spark, sf: repetition.digest(documents(spark, sf)),
         "op7_lsh_forest": lambda spark, sf: near_dedup.digest(documents(spark, sf)),
+        "op8_suffix_dedup": lambda spark, sf: suffix_dedup.digest(documents(spark, sf)),
         "op9_toxicity": lambda spark, sf: toxicity.digest(documents(spark, sf), documents(spark, sf, "labels")),
     }
 
