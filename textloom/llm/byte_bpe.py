@@ -283,6 +283,24 @@ def decode(encoded: DataFrame, path: str | None = None, keep: list[str] | None =
     return map_rows(encoded.select(*keep, "ids"), f"{kinds}, text string", make, 4 << 20)
 
 
+def encoded_and_checked(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, source, ids, n_tokens, round_trip: whether the decoded ids are the text (null texts: the empty one)."""
+    path = path or default_path()
+
+    def make():
+        bpe = tokenizer(path)
+
+        def run(c):
+            ids = [bpe.encode(t) for t in c["text"]]
+            same = [bpe.decode(x) == (t or "") for x, t in zip(ids, c["text"], strict=True)]
+            return {"doc_id": c["doc_id"], "source": c["source"], "ids": ids, "n_tokens": [len(x) for x in ids], "round_trip": same}
+
+        return run
+
+    schema = "doc_id long, source string, ids array<int>, n_tokens long, round_trip boolean"
+    return map_rows(docs.select("doc_id", "source", "text"), schema, make, 4 << 20)
+
+
 def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
     """The contract's columns: doc_id, n_tokens, ids_sha256, decoded_sha256. Encodes and decodes in one pass over the texts."""
     path = path or default_path()

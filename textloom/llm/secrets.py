@@ -31,13 +31,13 @@ TREES = 40
 DEPTH = 9
 SAMPLE_DOCS = 300
 NAMES = r"pass(?:word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key|key"
+#: Fixed prefixes of public key formats.
+PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "github_pat_", "xoxb-", "xoxp-", "sk_live_", "sk_test_", "sk-", "AIza", "SG.", "glpat-", "npm_", "eyJ")
 CANDIDATE = re.compile(
     rf"(?i:\b(?:[\w-]*(?:{NAMES}))[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?)([^\s\"',;]{{6,}})"
-    r"|(?<![A-Za-z0-9_+/=.-])((?=[A-Za-z_+/=.-]{0,64}[0-9])[A-Za-z0-9_+/=.-]{16,})"
+    rf"|(?<![A-Za-z0-9_+/=.-])((?=[A-Za-z_+/=.-]{{0,64}}[0-9]|{'|'.join(map(re.escape, PREFIXES))})[A-Za-z0-9_+/=.-]{{16,}})"
 )
 NEAR = 24  # characters on each side that count as neighbours
-#: Fixed prefixes of public key formats.
-PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "github_pat_", "xoxb-", "xoxp-", "sk_live_", "sk_test_", "sk-", "AIza", "SG.", "glpat-", "npm_", "eyJ")
 #: Words beside a value that speak for and against a secret.
 FOR = ("password", "passwd", "secret", "token", "key", "auth", "credential", "bearer", "login", "aws")
 AGAINST = ("commit", "sha", "md5", "checksum", "uuid", "version", "isbn", "order", "example", "hash", "revision", "digest", "file", "path", "build", "test", "sample", "http", "www")
