@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from textloom.functions import chars as C
-from textloom.functions.core import each_line, first_upper, let, rx
+from textloom.functions.core import each_line, first_upper, let, python, rx
 
 #: Words that titles leave in lower case (fixed values).
 SMALL_WORDS = "a an and as at but by en for if in is nor of on or per so the to v v. via vs vs. from into over with yet"
@@ -113,6 +113,7 @@ def _bare(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None or x.isascii() else "".join(c for c in unicodedata.normalize("NFD", x) if not low <= c <= high))
 
 
+@python
 def slug(t: Column) -> Column:
     return rx(rx(F.lower(_bare(t)), "[^\\p{L}\\p{N}]+", "-"), "^-+|-+\\z")
 
@@ -135,6 +136,7 @@ MODES = {
 }
 
 
+@python
 def change_case(t: Column, mode: str = "sentence", preserveAcronyms: bool = True) -> Column:
     """Unknown modes are sentence case."""
     if mode not in MODES or mode in ("sentence", "title", "capital"):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.chars import WB, WS
@@ -20,6 +20,33 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
+#: Functions that run Python over Arrow batches.
+PYTHON: set[str] = set()
+
+
+def python(f):
+    """Mark a column function that runs Python; pipelines plan those apart."""
+    PYTHON.add(f.__name__)
+    return f
+
+
+def fenced(df: DataFrame, column: str) -> DataFrame:
+    """``column`` behind a one-row generator.
+
+    Neighbouring projections are otherwise merged, and a Python function whose argument or user holds lambdas may then be
+    copied and not taken out of the projection again. Filters on other columns still pass through.
+    """
+    return df.withColumn(column, F.explode(F.array(F.col(column))))
+
+
+def applied(df: DataFrame, column: str, f: Callable[..., Column], **params) -> DataFrame:
+    """``df`` with ``f`` of ``column``, as a projection of its own."""
+    if getattr(f, "__name__", "") not in PYTHON:
+        return df.withColumn(column, f(F.col(column), **params))
+    new = f(F.col(column), **params)
+    return fenced(fenced(df, column).withColumn(column, new), column)
+
+
 def lines(t: Column) -> Column:
     return F.split(t, "\n", -1)
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from textloom.functions import chars as C
-from textloom.functions.core import each_line, java_pattern, keep_lines, let, lines, literal, quoted, rx, trim, unlines, valid_pattern
+from textloom.functions.core import each_line, java_pattern, keep_lines, let, lines, literal, python, quoted, rx, trim, unlines, valid_pattern
 
 _MARK = C.body(C.MARKER_POINTS)
 _OPEN, _CLOSE = C.body(C.OPEN_QUOTE_POINTS), C.body(C.CLOSE_QUOTE_POINTS)
@@ -175,6 +175,7 @@ def unwrapped(block: str, rejoin: bool = True) -> str:
     return "\n".join([*out, now.text()])
 
 
+@python
 def unwrap_paragraphs(t: Column, dehyphenate: bool = True) -> Column:
     """Joins lines that a column width broke; breaks that end a paragraph, a list item or a heading stay.
 
@@ -186,8 +187,7 @@ def unwrap_paragraphs(t: Column, dehyphenate: bool = True) -> Column:
     def whole(s: pd.Series) -> pd.Series:
         return s.map(lambda x: x if x is None or "\n" not in x else "\n\n".join(unwrapped(b, dehyphenate) for b in re.split("\n{2,}", x)))
 
-    # planned apart: inlined into the next operation's expressions it would not be taken out of them again
-    return whole.asNondeterministic()(t)
+    return whole(t)
 
 
 def remove_all_line_breaks(t: Column, separator: str = " ") -> Column:

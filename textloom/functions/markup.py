@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from textloom.functions import chars as C
-from textloom.functions.core import let, quoted, replace_all, rx, trim
+from textloom.functions.core import let, python, quoted, replace_all, rx, trim
 
 #: Tags that stand for a paragraph break, a line break, and tags that mark a text as HTML (fixed values).
 BLOCK_TAGS = (
@@ -117,6 +117,7 @@ def _tidied(t: Column) -> Column:
     return trim(rx(t, "\\n{3,}", "\n\n"))
 
 
+@python
 def html_to_text(t: Column, keepLinks: bool = False, listMarker: str = "- ", keepStructure: bool = True) -> Column:
     """Text with blocks as line breaks; a null stays null."""
     t = _without_islands(t)
@@ -184,6 +185,7 @@ def _plain_markdown(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None else plain_markdown(x))
 
 
+@python
 def strip_markdown(t: Column) -> Column:
     return _plain_markdown(t)
 
@@ -225,5 +227,6 @@ def _as_markdown(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
+@python
 def html_to_markdown(t: Column) -> Column:
     return _tidied(decode_entities(_as_markdown(t)))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from textloom.functions import chars as C
-from textloom.functions.core import quoted, replace_all, rx
+from textloom.functions.core import python, quoted, replace_all, rx
 
 
 def newlines(t: Column) -> Column:
@@ -33,6 +33,7 @@ def fix_cp1252(t: Column) -> Column:
     return F.translate(t, "".join(known) + "".join(unknown), "".join(known.values()))
 
 
+@python
 def normalise_unicode(t: Column, form: str = "NFC") -> Column:
     @F.pandas_udf(StringType())
     def normal(s: pd.Series) -> pd.Series:
@@ -74,6 +75,7 @@ def _unaccented(s: pd.Series) -> pd.Series:
     return s.map(plain)
 
 
+@python
 def transliterate(t: Column) -> Column:
     return _unaccented(replace_all(t, C.spellings(C.TRANSLITERATIONS).items()))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from textloom.functions import chars as C
-from textloom.functions.core import replace_all, rx
+from textloom.functions.core import python, replace_all, rx
 
 #: Query keys that only track (fixed values; matched whole, in any case).
 TRACKING = (
@@ -67,6 +67,7 @@ def _clean_urls(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None or "?" not in x else _URL.sub(lambda m: without_tracking(m[0]), x))
 
 
+@python
 def clean_urls(t: Column, removeTracking: bool = True, unshorten: bool = False) -> Column:
     """In free text; ``unshorten`` changes nothing, as no network is used."""
     return _clean_urls(t) if removeTracking else t

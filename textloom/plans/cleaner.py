@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import casing, chars, linewise, markup, repair, replace, spacing, typography
-from textloom.functions.core import let, lines, trim
+from textloom.functions.core import applied, let, lines, trim
 from textloom.operators.scan import counts_of
 from textloom.plans.pipeline import run_pipeline
 
@@ -86,7 +86,7 @@ def apply_steps(df: DataFrame, steps: Iterable[dict], column: str = "text") -> D
     for step in steps:
         tool = TOOLS.get(step.get("id"))
         for f in tool(step.get("params") or {}) if tool else ():
-            df = df.withColumn(column, f(F.col(column)))
+            df = applied(df, column, f)
     return df
 
 

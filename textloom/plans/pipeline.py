@@ -1,7 +1,7 @@
 """Running operations over a column.
 
 Each operation is a projection of its own, so an operation that mentions its input several times does not multiply the
-plan; Catalyst joins the simple ones again.
+plan; Catalyst joins the simple ones again. Operations in Python are fenced off from their neighbours.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import repair
+from textloom.functions.core import applied
 from textloom.operators.registry import OPS
 
 
@@ -27,7 +28,7 @@ def run_pipeline(df: DataFrame, enabled: Iterable[str], params: dict[str, dict]
             continue
         given = {**op.params, **{k: v for k, v in (params or {}).get(op_id, {}).items()}}
         try:
-            out = out.withColumn(column, op.run(F.col(column), **given))
+            out = applied(out, column, op.run, **given)
         except ValueError as e:
             failed.append((op_id, str(e)))
     if errors:
