@@ -36,15 +36,23 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
 
-def kmers(words: Column, k: int) -> Column:
-    """Hashes of k tokens in a row; of fewer, of all; none of none."""
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    n = F.size(hashes)
-    short = F.when(n > 0, F.array(F.xxhash64(F.array_join(words, " ")))).otherwise(F.array().cast("array<long>"))
-    rolled = F.slice(hashes, 1, n - k + 1)
+def hashes(text: Column) -> Column:
+    return F.transform(tokens(text), lambda w: F.xxhash64(w))
+
+
+def rolled(tokens_: Column, k: int) -> Column:
+    """Hashes of k neighbours."""
+    n = F.greatest(F.size(tokens_) - (k - 1), F.lit(0))
+    out = F.slice(tokens_, 1, n)
     for i in range(1, k):
-        rolled = F.zip_with(rolled, F.slice(hashes, i + 1, n - k + 1), lambda a, b: F.xxhash64(a, b))
-    return F.when(n >= k, rolled).otherwise(short)
+        out = F.zip_with(out, F.slice(tokens_, i + 1, n), lambda a, b: F.xxhash64(a, b))
+    return out
+
+
+def kmers(tokens_: Column, k: int) -> Column:
+    """Hashes of k tokens in a row; of fewer, of all; none of none."""
+    short = F.when(F.size(tokens_) > 0, F.array(F.xxhash64(tokens_))).otherwise(F.array().cast("array<long>"))
+    return F.when(F.size(tokens_) >= k, rolled(tokens_, k)).otherwise(short)
 
 
 def _bits(j: int) -> tuple[Column, Column]:
@@ -54,35 +62,60 @@ def _bits(j: int) -> tuple[Column, Column]:
     return h.bitwiseAND(F.lit(1)) == 0, value
 
 
-def fingerprints(texts: DataFrame, k: int = K, entries: int = ENTRIES) -> DataFrame:
-    """(bucket, doc, entries array<long>) for each (bucket, doc, text); doc names a row of its bucket.
+def _entries(a: list[Column], b: list[Column]) -> Column:
+    """The fingerprint from the least values of both halves."""
+    mask, out = (1 << 23) - 1, []
+    for x, y in zip(a, b, strict=True):
+        first = x.bitwiseAND(F.lit(mask)) <= y.bitwiseAND(F.lit(mask))
+        hx, hy = F.shiftright(x, 23), F.shiftright(y, 23)
+        both = F.when(first, F.xxhash64(F.lit(0), hx, hy)).otherwise(F.xxhash64(F.lit(1), hy, hx))
+        out.append(F.when(x.isNull() | y.isNull(), F.xxhash64(F.lit(2), hx, hy)).otherwise(both))
+    return F.array(*out)
+
+
+def fingerprints(pairs: DataFrame, k: int = K, entries: int = ENTRIES) -> DataFrame:
+    """(bucket, row, entries, edited_entries) for each (bucket, row, head, text, edited); row names a row of its bucket.
 
-    Where the input is partitioned by bucket, nothing is shuffled.
+    Both versions begin with ``head``, which is empty or ends in white space; ``text`` and ``edited`` are what follows (null:
+    no such version). K-mers of the head stand once for both, so the work is that of the differing text. Where the input is
+    partitioned by bucket, nothing is shuffled.
     """
-    rows = texts.select("bucket", "doc", kmers(tokens(F.col("text")), k).alias("kmers"))
-    rows = rows.select("bucket", "doc", F.size("kmers").alias("n"), F.posexplode_outer("kmers").alias("pos", "kmer"))
+    rows = pairs.select("bucket", "row", *[hashes(F.coalesce(c, F.lit(""))).alias(c) for c in ("head", "text", "edited")], F.col("edited").isNotNull().alias("two"))
+    last = F.slice("head", F.greatest(F.size("head") - (k - 2), F.lit(1)), k - 1) if k > 1 else F.array().cast("array<long>")
+
+    def own(version: str) -> Column:
+        """The k-mers of a version that are not inside the head."""
+        few = F.size("head") + F.size(version) < k
+        return F.when(few, kmers(F.concat("head", version), k)).otherwise(rolled(F.concat(last, version), k))
+
+    nothing = F.array().cast("array<long>")
+    rows = rows.select("bucket", "row", rolled(F.col("head"), k).alias("s"), own("text").alias("x"), F.when(F.col("two"), own("edited")).otherwise(nothing).alias("y"))
+    rows = rows.select("bucket", "row", F.size("s").alias("ns"), F.size("x").alias("nx"), F.posexplode_outer(F.concat("s", "x", "y")).alias("at", "kmer"))
+    side = F.when(F.col("at") < F.col("ns"), 0).when(F.col("at") < F.col("ns") + F.col("nx"), 1).otherwise(2)
+    pos = F.when(side == 2, F.col("at") - F.col("nx")).otherwise(F.col("at")).cast("long")
     # 23 bits of place keep the order in texts of any length (beyond 8 million k-mers, neighbours share a place)
-    pos = F.col("pos").cast("long")
-    place = F.when(F.col("n") < (1 << 23), pos).otherwise(F.floor(pos * F.lit(float(1 << 23)) / F.col("n")))
-    # sorting starts with a hash of document and k-mer: one comparison of longs settles nearly all of it
-    rows = rows.select("bucket", "doc", "kmer", place.alias("place"), F.xxhash64("doc", "kmer").alias("own"))
-    seen = Window.partitionBy("own", "bucket").orderBy("place")
-    numbered = rows.withColumn("unit", F.xxhash64("kmer", F.row_number().over(seen)))
+    total = F.col("ns") + F.col("nx")
+    place = F.when(total < (1 << 22), F.least(pos, F.lit((1 << 23) - 1))).otherwise(F.floor(pos * F.lit(float(1 << 22)) / total))
+    # sorting starts with a hash of row and k-mer: one comparison of longs settles nearly all of it
+    rows = rows.select("bucket", "row", "kmer", side.alias("side"), place.alias("place"), F.xxhash64("row", "kmer").alias("own"))
+    seen = Window.partitionBy("own", "bucket").orderBy("side", "place")
+    sofar = seen.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # occurrences count within a version: for the edited one, those of the other's own part do not
+    others = F.when(F.col("side") == 2, F.sum(F.when(F.col("side") == 1, 1).otherwise(0)).over(sofar)).otherwise(0)
+    numbered = rows.withColumn("unit", F.xxhash64("kmer", (F.row_number().over(seen) - others).cast("int")))
     sums = []
     for j in range(entries):
         low, value = _bits(j)
         held = F.when(F.col("kmer").isNotNull(), value)
         sums += [F.min(F.when(low, held)).alias(f"a{j}"), F.min(F.when(~low, held)).alias(f"b{j}")]
-    least = numbered.groupBy("bucket", "doc").agg(*sums)
-    mask = (1 << 23) - 1
-    out = []
-    for j in range(entries):
-        a, b = F.col(f"a{j}"), F.col(f"b{j}")
-        first = a.bitwiseAND(F.lit(mask)) <= b.bitwiseAND(F.lit(mask))
-        ha, hb = F.shiftright(a, 23), F.shiftright(b, 23)
-        both = F.when(first, F.xxhash64(F.lit(0), ha, hb)).otherwise(F.xxhash64(F.lit(1), hb, ha))
-        out.append(F.when(a.isNull() | b.isNull(), F.xxhash64(F.lit(2), ha, hb)).otherwise(both))
-    return least.select("bucket", "doc", F.array(*out).alias("entries"))
+    least = numbered.groupBy("bucket", "row", "side").agg(*sums)
+    # the two versions: the least over the head and over what is their own
+    merged = []
+    for version, sides in (("t", (0, 1)), ("e", (0, 2))):
+        merged += [F.min(F.when(F.col("side").isin(*sides), F.col(f"{h}{j}"))).alias(f"{version}{h}{j}") for j in range(entries) for h in "ab"]
+    wide = least.groupBy("bucket", "row").agg(*merged)
+    of = lambda v: _entries([F.col(f"{v}a{j}") for j in range(entries)], [F.col(f"{v}b{j}") for j in range(entries)])
+    return wide.select("bucket", "row", of("t").alias("entries"), of("e").alias("edited_entries"))
 
 
 def likeness(x: Column, y: Column) -> Column:
@@ -154,15 +187,13 @@ def digest(docs: DataFrame, rows: int = ROWS) -> DataFrame:
     info = both.filter(~F.col("guest")).select(
         "bucket", "row", "did", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256")
     )
-    versions = F.posexplode(F.array("text", "edited")).alias("version", "text")
-    texts = both.select("bucket", "row", versions).filter("text is not null")
-    prints = fingerprints(texts.select("bucket", (F.col("row").cast("long") * 2 + F.col("version")).alias("doc"), "text"))
-    version, row = F.col("doc") % 2, F.floor(F.col("doc") / 2).cast("int").alias("row")
-    own = prints.groupBy("bucket", row).agg(
-        F.max(F.when(version == 0, F.col("entries"))).alias("entries"), F.max(F.when(version == 1, F.col("entries"))).alias("edited_entries")
-    )
+    kept = F.length("text") - F.floor(F.length("text") / 4).cast("int")
+    head = F.regexp_replace(F.substr("text", F.lit(1), kept), F.lit(r"[^\x20\x09-\x0D]+\z"), F.lit(""))
+    cut = both.select("bucket", "row", "text", "edited", F.when(F.col("guest"), F.lit("")).otherwise(head).alias("head"))
+    after = lambda c: F.substr(F.col(c), F.length("head") + 1).alias(c)
+    own = fingerprints(cut.select("bucket", "row", "head", after("text"), after("edited")))
     following = F.lead("entries").over(Window.partitionBy("bucket").orderBy("row"))
-    out = own.withColumn("following", following).filter("edited_entries is not null").join(info, ["bucket", "row"])
+    out = own.withColumn("following", following).join(info, ["bucket", "row"])
     return out.select(
         real_id().alias("doc_id"),
         "n_chars",
