@@ -2,18 +2,19 @@
 
 1. Each text becomes the set of its distinct 2-word shingles (64-bit hashes); equal sets are one class from here on, so
    groups of copies cost one row.
-2. A class has a MinHash signature of ``TREES * DEPTH`` values. Tree t is the order of all signatures by the rotation that
-   starts at value ``t * DEPTH``: classes that share its first ``DEPTH`` values are a region, sorted by the values after.
+2. A class has a MinHash signature of ``VALUES`` values. Each of ``TREES`` trees is the order of all signatures by its own
+   drawing of columns. Classes that share the first ``DEPTH`` columns of a tree are a region, sorted by the columns after.
 3. Candidates are neighbours with the longest common prefixes: first the next one in each region; once links among these
-   are confirmed, every other class of the same region that is not yet connected, up to ``WINDOW`` places on. Where a
-   crowded region reaches further, the window widens round by round until it spans each region that still holds two
-   components, so nothing is left out: the depth reached follows from how crowded the region is.
-4. A candidate whose signatures agree in under ``ESTIMATE`` of their values (over six standard deviations below the
-   threshold) goes; the rest are confirmed on the full sets.
+   are confirmed, every other class of the same region that is not yet connected and whose sketch agrees, up to ``WINDOW``
+   places on. Where a crowded region reaches further, the window widens round by round until it spans each region that
+   still holds two components, so nothing is left out: the depth reached follows from how crowded the region is.
+4. A candidate whose sketches differ too much goes: a sketch has a byte for the least hash in each of ``BINS`` ranges, and
+   of the ranges that either set fills, at least the threshold's share must agree, less ``DEVIATIONS`` standard deviations
+   (a pair of exactly 0.8 is lost three times in a million). The rest are confirmed on the full sets.
 5. Components of confirmed links by alternating large-star and small-star steps on DataFrames.
 
-Pairs of similarity 0.8 miss all of the regions with probability (1 - 0.8^5)^32, about 3 in a million. Texts are
-shuffled at most once a round, only those with a candidate left get their sets made again.
+A pair of similarity 0.8 misses all regions with probability of about one in a hundred thousand, one of 0.85 in ten
+million. Texts are shuffled at most once a round, and only those with a candidate left get their sets made again.
 
 Defined cases: null, empty or blank texts have no shingles and stand alone; one word is a shingle of its own; a row is a
 document; rows of one id share the id's component; a null id is taken as the smallest id and returned as null.
@@ -24,15 +25,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.common import did, map_rows, real_id, written
 
-TREES = 32
-DEPTH = 5
-ESTIMATE = 0.6
-WINDOW = 32
+VALUES = 160
+TREES = 64
+DEPTH = 7
+BINS = 512
+DEVIATIONS = 4.5
+WINDOW = 4096
 MAX_HASHES = 400_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -81,25 +84,72 @@ def signatures(sets: list[np.ndarray], k: int) -> np.ndarray:
     return out
 
 
-def sketched(docs: DataFrame, size: int, k: int) -> DataFrame:
-    """did, thash, n_shingles, s1, s2 (the set's 128-bit identity), sig."""
+_LOW = (np.arange(BINS, dtype=object) * (1 << 64) // BINS).astype(np.uint64)
+
+
+def sketch_of(items: np.ndarray) -> bytes:
+    """Of a sorted set: for each range of hashes a byte of the least one in it, 0 where there is none."""
+    at = np.searchsorted(items, _LOW)
+    ends = np.append(at[1:], len(items))
+    out = np.zeros(BINS, np.uint8)
+    full = at < ends
+    out[full] = (_mix(items[at[full]]) % np.uint64(255)).astype(np.uint8) + np.uint8(1)
+    return out.tobytes()
+
+
+def agreement(rows: np.ndarray, sizes: np.ndarray, one: np.ndarray, size: np.ndarray | int, least: int, deviations: float) -> np.ndarray:
+    """Whether sketches, of sets of so many items, leave room for a similarity of ``least`` percent.
+
+    The ranges filled are a draw without replacement from the union, so small sets are judged almost exactly.
+    """
+    filled = np.maximum(((rows | one) != 0).sum(1), 1)
+    same = ((rows == one) & (rows != 0)).sum(1)
+    share = least / 100
+    union = np.maximum((sizes + size) / (1 + share), 1)
+    spread = np.sqrt(share * (1 - share) / filled * np.clip(1 - filled / union, 0.02, 1))
+    return same / filled >= share - deviations * spread - 1 / filled
+
+
+def drawn_columns(values: int, trees: int, depth: int) -> list[np.ndarray]:
+    rng = np.random.default_rng(77)
+    return [rng.permutation(values)[: depth + 1] for _ in range(trees)]
+
+
+def keyed(sig: np.ndarray, columns: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each signature and tree the hash of the first ``depth`` columns, and 16 bits of the next one."""
+    sig = sig.astype(np.uint64)
+    keys, rests = np.empty((len(sig), len(columns)), np.int64), np.empty((len(sig), len(columns)), np.uint16)
+    for t, drawn in enumerate(columns):
+        h = np.full(len(sig), t + 1, np.uint64)
+        for c in drawn[:depth]:
+            h = _mix(h * BASE + sig[:, c])
+        keys[:, t] = h.view(np.int64)
+        rests[:, t] = (sig[:, drawn[depth]] >> np.uint64(15)).astype(np.uint16)
+    return keys, rests
+
+
+def sketched(docs: DataFrame, size: int, values: int, trees: int, depth: int) -> DataFrame:
+    """did, n_shingles, s1, s2 (the set's 128-bit identity), keys and rests (of each tree), sketch."""
 
     def make():
+        columns = drawn_columns(values, trees, depth)
+
         def run(c):
             sets = [shingles(t, size) for t in c["text"]]
             full = [i for i, s in enumerate(sets) if len(s)]
-            sig: list = [None] * len(sets)
+            keys, rests, sketch = ([None] * len(sets) for _ in range(3))
             if full:
-                for i, row in zip(full, signatures([sets[i] for i in full], k), strict=True):
-                    sig[i] = row
+                found = keyed(signatures([sets[i] for i in full], values), columns, depth)
+                for i, k, r in zip(full, *found, strict=True):
+                    keys[i], rests[i], sketch[i] = k.tobytes(), r.tobytes(), sketch_of(sets[i])
             one = [int(s.sum(dtype=np.uint64).astype(np.int64)) for s in sets]
             two = [int(_mix(s ^ BASE).sum(dtype=np.uint64).astype(np.int64)) for s in sets]
-            return {"did": c["did"], "n_shingles": [len(s) for s in sets], "s1": one, "s2": two, "sig": sig}
+            return {"did": c["did"], "n_shingles": [len(s) for s in sets], "s1": one, "s2": two, "keys": keys, "rests": rests, "sketch": sketch}
 
         return run
 
     given = docs.select(did().alias("did"), "text")
-    return map_rows(given, "did long, n_shingles long, s1 long, s2 long, sig array<int>", make, 4 << 20)
+    return map_rows(given, "did long, n_shingles long, s1 long, s2 long, keys binary, rests binary, sketch binary", make, 4 << 20)
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -112,59 +162,125 @@ def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return map_rows(given, "did long, items array<long>", make, 4 << 20)
 
 
-def regions(classes: DataFrame, trees: int, depth: int) -> DataFrame:
-    """(region, rest, rep): for each tree the hash of its first ``depth`` values, and the next two to sort by."""
-    ring = F.concat("sig", "sig")
-    rows = classes.select("rep", ring.alias("ring"), F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    at = F.col("tree") * depth
-    region = F.xxhash64("tree", F.slice("ring", at + 1, depth))
-    rest = F.shiftleft(F.element_at("ring", at + depth + 1).cast("long"), 32) + F.element_at("ring", at + depth + 2)
-    return rows.select(region.alias("region"), rest.alias("rest"), "rep")
+def _matrix(column: pa.Array, dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1)
 
 
-def neighbours(sorted_rows: DataFrame, window: int) -> DataFrame:
-    """(a, b) with a < b: classes of different components (column comp) at most ``window`` places apart in one region.
+def regions(classes: DataFrame) -> DataFrame:
+    """(region, rest, rep), a row for each class and tree; ``rest`` is what to sort by."""
+    schema = pa.schema([("region", pa.int64()), ("rest", pa.int64()), ("rep", pa.int64())])
 
-    Rows stream through in order; a task keeps ``window`` rows at most.
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                keys, rests = _matrix(part.column(1), np.int64), _matrix(part.column(2), np.uint16)
+                rep = np.repeat(part.column(0).to_numpy(), keys.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.ravel(), rests.ravel().astype(np.int64), rep)], schema=schema)
+
+    return classes.select("rep", "keys", "rests").mapInArrow(run, "region long, rest long, rep long")
+
+
+def shared(rows: DataFrame) -> DataFrame:
+    """The rows of ``regions`` whose region has others: one shuffle, streamed in order with one row held back."""
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            whole = pa.Table.from_batches([held, batch] if held is not None else [batch]).combine_chunks().to_batches()[0]
+            key = whole.column(0).to_numpy()
+            keep = np.zeros(len(key), bool)
+            same = key[1:] == key[:-1]
+            keep[1:] |= same
+            keep[:-1] |= same
+            if held is not None and joined:
+                keep[0] = True
+            joined = bool(keep[-1])
+            keep[-1] = False
+            held = whole.slice(whole.num_rows - 1)
+            yield whole.filter(pa.array(keep))
+        if held is not None and joined:
+            yield held
+
+    return rows.repartition("region").sortWithinPartitions("region").mapInArrow(run, "region long, rest long, rep long")
+
+
+def next_ones(rows: DataFrame) -> DataFrame:
+    """(a, b) with a < b: each class and the next one of its region."""
+    order = Window.partitionBy("region").orderBy("rest", "rep")
+    pairs = rows.select("rep", F.lead("rep").over(order).alias("next")).filter("rep <> next")
+    return pairs.select(F.least("rep", "next").alias("a"), F.greatest("rep", "next").alias("b"))
+
+
+def neighbours(rows: DataFrame, window: int, least: int, deviations: float) -> DataFrame:
+    """(a, b) with a < b: classes of different components at most ``window`` places apart in a region, whose sketches allow it.
+
+    A pair is given in the first tree alone that has it in one region. Rows stream through in order; a task keeps
+    ``2 * window`` of them at most.
     """
 
     def run(batches):
-        region, held, kinds = None, [], {}
+        region, n, buffers = None, 0, None
         for batch in batches:
             a, b = [], []
-            for key, rep, comp in zip(*(batch.column(n).to_pylist() for n in ("region", "rep", "comp")), strict=True):
-                if key != region:
-                    region, held, kinds = key, [], {}
-                if len(kinds) > 1 or (kinds and comp not in kinds):
-                    for other, kind in held:
-                        if kind != comp:
-                            a.append(min(rep, other))
-                            b.append(max(rep, other))
-                held.append((rep, comp))
-                kinds[comp] = kinds.get(comp, 0) + 1
-                if len(held) > window:
-                    gone = held.pop(0)[1]
-                    kinds[gone] -= 1
-                    if not kinds[gone]:
-                        del kinds[gone]
+            columns = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            where, reps, comps, sizes = (columns[c].to_numpy() for c in ("region", "rep", "comp", "n_shingles"))
+            keys, sketches = (_matrix(columns[c], t) for c, t in (("keys", np.int64), ("sketch", np.uint8))) if batch.num_rows else (None, None)
+            for i in range(batch.num_rows):
+                if where[i] != region:
+                    region, n = where[i], 0
+                if buffers is None:
+                    buffers = [np.empty((2 * window, *x.shape[1:]), x.dtype) for x in (reps, comps, sizes, keys, sketches)]
+                elif n == 2 * window:
+                    for x in buffers:
+                        x[:window] = x[window:]
+                    n = window
+                low = max(0, n - window)
+                other = low + np.flatnonzero(buffers[1][low:n] != comps[i])
+                if len(other):
+                    other = other[agreement(buffers[4][other], buffers[2][other], sketches[i], sizes[i], least, deviations)]
+                if len(other):
+                    first = (buffers[3][other] == keys[i]).argmax(1)
+                    other = other[keys[i][first] == region]
+                    a += np.minimum(buffers[0][other], reps[i]).tolist()
+                    b += np.maximum(buffers[0][other], reps[i]).tolist()
+                for x, value in zip(buffers, (reps, comps, sizes, keys, sketches), strict=True):
+                    x[n] = value[i]
+                n += 1
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return sorted_rows.repartition("region").sortWithinPartitions("region", "rest", "rep").mapInArrow(run, "a long, b long")
+    ordered = rows.select("region", "rest", "rep", "comp", "n_shingles", "keys", "sketch").repartition("region").sortWithinPartitions("region", "rest", "rep")
+    return ordered.mapInArrow(run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, least: int, estimate: float) -> DataFrame:
-    """The (a, b) among ``pairs`` with 100 * intersection >= ``least`` * union on the full sets."""
-    slim = classes.select("rep", "n_shingles", "sig")
+def likely(pairs: DataFrame, classes: DataFrame, least: int, deviations: float) -> DataFrame:
+    """The (a, b) whose set sizes and sketches allow the similarity."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (_matrix(batch.column(i), np.uint8) for i in (2, 3))
+                good = agreement(x, batch.column(4).to_numpy(), y, batch.column(5).to_numpy(), least, deviations)
+                yield batch.select([0, 1]).filter(pa.array(good))
+
+    slim = classes.select("rep", "n_shingles", "sketch")
     left, right = (slim.select(*[F.col(c).alias(f"{side}_{c}") for c in slim.columns]) for side in "ab")
-    both = pairs.distinct().join(left, F.col("a") == F.col("a_rep")).join(right, F.col("b") == F.col("b_rep"))
+    both = pairs.join(left, F.col("a") == F.col("a_rep")).join(right, F.col("b") == F.col("b_rep"))
     few, many = F.least("a_n_shingles", "b_n_shingles"), F.greatest("a_n_shingles", "b_n_shingles")
-    same = F.size(F.filter(F.zip_with("a_sig", "b_sig", lambda x, y: x == y), lambda x: x))
-    likely = written(both.filter((100 * few >= least * many) & (same >= estimate * F.size("a_sig"))).select("a", "b"), "likely")
-    wanted = likely.select(F.col("a").alias("did")).union(likely.select(F.col("b").alias("did")))
+    fit = both.filter(100 * few >= least * many)
+    return fit.select("a", "b", "a_sketch", "b_sketch", "a_n_shingles", "b_n_shingles").mapInArrow(run, "a long, b long")
+
+
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, least: int, deviations: float) -> DataFrame:
+    """The (a, b) among ``pairs`` with 100 * intersection >= ``least`` * union on the full sets."""
+    chosen = written(likely(pairs, classes, least, deviations), "likely")
+    wanted = chosen.select(F.col("a").alias("did")).union(chosen.select(F.col("b").alias("did")))
     # rows that repeat an id: any row of the class representative will do
     sets = written(sets_of(docs, wanted, size), "sets").groupBy("did").agg(F.max("items").alias("items"))
     sets = sets.select("did", "items")
-    x = likely.join(sets.select(F.col("did").alias("a"), F.col("items").alias("x")), "a")
+    x = chosen.join(sets.select(F.col("did").alias("a"), F.col("items").alias("x")), "a")
     xy = x.join(sets.select(F.col("did").alias("b"), F.col("items").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return xy.filter(100 * shared >= least * (F.size("x") + F.size("y") - shared)).select("a", "b")
@@ -192,33 +308,40 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def grouped(
-    docs: DataFrame, size: int = 2, least: int = 80, trees: int = TREES, depth: int = DEPTH, window: int = WINDOW, estimate: float = ESTIMATE
+    docs: DataFrame,
+    size: int = 2,
+    least: int = 80,
+    values: int = VALUES,
+    trees: int = TREES,
+    depth: int = DEPTH,
+    window: int = WINDOW,
+    deviations: float = DEVIATIONS,
 ) -> DataFrame:
     """did, n_shingles, component (did of the least document reachable), one row for each row of ``docs``."""
-    base = written(sketched(docs, size, trees * depth), "sketches")
+    base = written(sketched(docs, size, values, trees, depth), "sketches")
     full = base.filter("n_shingles > 0")
     first = full.groupBy("s1", "s2").agg(F.min("did").alias("rep"))
     reps = full.join(first, ["s1", "s2"]).filter("did = rep")
-    classes = written(reps.groupBy("rep").agg(F.max("n_shingles").alias("n_shingles"), F.max("sig").alias("sig")), "classes")
-    counted = regions(classes, trees, depth)
-    crowd = counted.groupBy("region").agg(F.count("*").alias("n")).filter("n > 1")
-    rows = written(counted.join(crowd, "region"), "regions")
-    alone = rows.withColumn("comp", F.col("rep"))
-    pairs = written(neighbours(alone, 1).distinct(), "near1")
-    links = written(confirmed(pairs, classes, docs, size, least, estimate), "links1")
+    classes = written(reps.groupBy("rep").agg(F.max(F.struct("n_shingles", "keys", "rests", "sketch")).alias("x")).select("rep", "x.*"), "classes")
+    rows = written(shared(regions(classes)), "regions")
+    crowd = rows.groupBy("region").agg(F.count("*").alias("n"))
+    pairs = written(next_ones(rows).distinct(), "near1")
+    links = written(confirmed(pairs, classes, docs, size, least, deviations), "links1")
     tested, reach, round_ = pairs, 1, 1
     while True:
         comps = components(links)
         marked = rows.join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
         mixed = marked.groupBy("region").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 <> c2").select("region")
         # regions that the last window did not span and that still hold two components
-        open_ = written(marked.filter(F.col("n") > reach + 1).join(mixed, "region", "left_semi"), "open")
+        wide = crowd.filter(F.col("n") > reach + 1)
+        open_ = written(marked.join(wide, "region").join(mixed, "region", "left_semi"), "open")
         most = open_.agg(F.max("n")).first()[0]
         if most is None:
             break
         reach, round_ = window if round_ == 1 else 8 * reach, round_ + 1
-        pairs = written(neighbours(open_, reach).distinct().join(tested, ["a", "b"], "left_anti"), f"near{round_}")
-        more = written(confirmed(pairs, classes, docs, size, least, estimate), f"links{round_}")
+        known = open_.join(classes.select("rep", "n_shingles", "keys", "sketch"), "rep")
+        pairs = written(neighbours(known, reach, least, deviations).join(tested, ["a", "b"], "left_anti"), f"near{round_}")
+        more = written(confirmed(pairs, classes, docs, size, least, deviations), f"links{round_}")
         tested, links = tested.union(pairs), links.union(more)
     named = first.join(comps, "rep", "left").select("s1", "s2", F.coalesce("comp", "rep").alias("component"))
     own = base.select("did", "n_shingles", "s1", "s2")
