@@ -33,6 +33,8 @@ DIM = 6
 GRAMS = (3, 4, 5)
 SPAN = 48
 EPOCHS = 6
+#: Small training sets run more epochs, until so many steps are made, at most ten times as many.
+STEPS = 150
 MAX_WORDS = 600_000
 WORD = re.compile(r"\w+")
 
@@ -118,7 +120,9 @@ def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int = 5)
     moments = [np.zeros_like(p) for p in (emb, out, bias) for _ in range(2)]
     step = 0
     clean = np.flatnonzero(label[doc_of] == 0)
-    for epoch in range(epochs):
+    for epoch in range(10 * epochs):
+        if epoch >= epochs and step >= STEPS:
+            break
         word_vec = np.add.reduceat(emb[flat], first[:-1]) / size[:, None]
         lean = word_vec @ (out[:, 1] - out[:, 0])
         score = np.array([lean[w].sum() / max(len(w), SPAN // 4) for w in windows])
