@@ -36,6 +36,7 @@ DEPTH = 7
 BINS = 512
 DEVIATIONS = 4.5
 WINDOW = 4096
+BROADCAST = 1_000_000
 MAX_HASHES = 400_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -129,7 +130,7 @@ def keyed(sig: np.ndarray, columns: list[np.ndarray], depth: int) -> tuple[np.nd
 
 
 def sketched(docs: DataFrame, size: int, values: int, trees: int, depth: int) -> DataFrame:
-    """did, n_shingles, s1, s2 (the set's 128-bit identity), keys and rests (of each tree), sketch."""
+    """did, n_shingles, s1, s2 (the set's 128-bit identity), marks and tops (the halves of each tree's key), rests, sketch."""
 
     def make():
         columns = drawn_columns(values, trees, depth)
@@ -137,19 +138,20 @@ def sketched(docs: DataFrame, size: int, values: int, trees: int, depth: int) ->
         def run(c):
             sets = [shingles(t, size) for t in c["text"]]
             full = [i for i, s in enumerate(sets) if len(s)]
-            keys, rests, sketch = ([None] * len(sets) for _ in range(3))
+            marks, tops, rests, sketch = ([None] * len(sets) for _ in range(4))
             if full:
                 found = keyed(signatures([sets[i] for i in full], values), columns, depth)
                 for i, k, r in zip(full, *found, strict=True):
-                    keys[i], rests[i], sketch[i] = k.tobytes(), r.tobytes(), sketch_of(sets[i])
+                    halves = k.view(np.uint32).reshape(-1, 2)
+                    marks[i], tops[i], rests[i], sketch[i] = halves[:, 0].tobytes(), halves[:, 1].tobytes(), r.tobytes(), sketch_of(sets[i])
             one = [int(s.sum(dtype=np.uint64).astype(np.int64)) for s in sets]
             two = [int(_mix(s ^ BASE).sum(dtype=np.uint64).astype(np.int64)) for s in sets]
-            return {"did": c["did"], "n_shingles": [len(s) for s in sets], "s1": one, "s2": two, "keys": keys, "rests": rests, "sketch": sketch}
+            return {"did": c["did"], "n_shingles": [len(s) for s in sets], "s1": one, "s2": two, "marks": marks, "tops": tops, "rests": rests, "sketch": sketch}
 
         return run
 
     given = docs.select(did().alias("did"), "text")
-    return map_rows(given, "did long, n_shingles long, s1 long, s2 long, keys binary, rests binary, sketch binary", make, 4 << 20)
+    return map_rows(given, "did long, n_shingles long, s1 long, s2 long, marks binary, tops binary, rests binary, sketch binary", make, 4 << 20)
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -158,7 +160,10 @@ def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     def make():
         return lambda c: {"did": c["did"], "items": [shingles(t, size).astype(np.int64) for t in c["text"]]}
 
-    given = docs.select(did().alias("did"), "text").join(wanted.select("did").distinct(), "did", "left_semi")
+    ids = written(wanted.select("did").distinct(), "wanted")
+    # up to so many ids go along with the scan (16 MB at most); beyond, the texts are shuffled to them
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST else ids
+    given = docs.select(did().alias("did"), "text").join(ids, "did", "left_semi")
     return map_rows(given, "did long, items array<long>", make, 4 << 20)
 
 
@@ -174,11 +179,12 @@ def regions(classes: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                keys, rests = _matrix(part.column(1), np.int64), _matrix(part.column(2), np.uint16)
+                low, top, rests = _matrix(part.column(1), np.uint32), _matrix(part.column(2), np.uint32), _matrix(part.column(3), np.uint16)
+                keys = np.stack([low, top], 2).reshape(len(low), -1).view(np.int64)
                 rep = np.repeat(part.column(0).to_numpy(), keys.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.ravel(), rests.ravel().astype(np.int64), rep)], schema=schema)
 
-    return classes.select("rep", "keys", "rests").mapInArrow(run, "region long, rest long, rep long")
+    return classes.select("rep", "marks", "tops", "rests").mapInArrow(run, "region long, rest long, rep long")
 
 
 def shared(rows: DataFrame) -> DataFrame:
@@ -227,7 +233,7 @@ def neighbours(rows: DataFrame, window: int, least: int, deviations: float) -> D
             a, b = [], []
             columns = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
             where, reps, comps, sizes = (columns[c].to_numpy() for c in ("region", "rep", "comp", "n_shingles"))
-            keys, sketches = (_matrix(columns[c], t) for c, t in (("keys", np.int64), ("sketch", np.uint8))) if batch.num_rows else (None, None)
+            keys, sketches = (_matrix(columns[c], t) for c, t in (("marks", np.uint32), ("sketch", np.uint8))) if batch.num_rows else (None, None)
             for i in range(batch.num_rows):
                 if where[i] != region:
                     region, n = where[i], 0
@@ -238,12 +244,13 @@ def neighbours(rows: DataFrame, window: int, least: int, deviations: float) -> D
                         x[:window] = x[window:]
                     n = window
                 low = max(0, n - window)
-                other = low + np.flatnonzero(buffers[1][low:n] != comps[i])
+                fit = np.minimum(buffers[2][low:n], sizes[i]) * 100 >= np.maximum(buffers[2][low:n], sizes[i]) * least
+                other = low + np.flatnonzero(fit & (buffers[1][low:n] != comps[i]))
                 if len(other):
                     other = other[agreement(buffers[4][other], buffers[2][other], sketches[i], sizes[i], least, deviations)]
                 if len(other):
                     first = (buffers[3][other] == keys[i]).argmax(1)
-                    other = other[keys[i][first] == region]
+                    other = other[keys[i][first] == np.uint32(region & 0xFFFFFFFF)]
                     a += np.minimum(buffers[0][other], reps[i]).tolist()
                     b += np.maximum(buffers[0][other], reps[i]).tolist()
                 for x, value in zip(buffers, (reps, comps, sizes, keys, sketches), strict=True):
@@ -251,7 +258,7 @@ def neighbours(rows: DataFrame, window: int, least: int, deviations: float) -> D
                 n += 1
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    ordered = rows.select("region", "rest", "rep", "comp", "n_shingles", "keys", "sketch").repartition("region").sortWithinPartitions("region", "rest", "rep")
+    ordered = rows.select("region", "rest", "rep", "comp", "n_shingles", "marks", "sketch").repartition("region").sortWithinPartitions("region", "rest", "rep")
     return ordered.mapInArrow(run, "a long, b long")
 
 
@@ -273,17 +280,30 @@ def likely(pairs: DataFrame, classes: DataFrame, least: int, deviations: float)
     return fit.select("a", "b", "a_sketch", "b_sketch", "a_n_shingles", "b_n_shingles").mapInArrow(run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, least: int, deviations: float) -> DataFrame:
-    """The (a, b) among ``pairs`` with 100 * intersection >= ``least`` * union on the full sets."""
-    chosen = written(likely(pairs, classes, least, deviations), "likely")
-    wanted = chosen.select(F.col("a").alias("did")).union(chosen.select(F.col("b").alias("did")))
-    # rows that repeat an id: any row of the class representative will do
+def confirmed(pairs: DataFrame, docs: DataFrame, size: int, least: int, narrow: bool) -> DataFrame:
+    """The (a, b) among ``pairs`` with 100 * intersection >= ``least`` * union on the full sets.
+
+    ``narrow``: first compare 16 bits of each item, which only ever adds to an intersection, so that few full sets travel.
+    """
+    wanted = pairs.select(F.col("a").alias("did")).union(pairs.select(F.col("b").alias("did")))
+    # rows that repeat an id: any of them will do
     sets = written(sets_of(docs, wanted, size), "sets").groupBy("did").agg(F.max("items").alias("items"))
-    sets = sets.select("did", "items")
-    x = chosen.join(sets.select(F.col("did").alias("a"), F.col("items").alias("x")), "a")
-    xy = x.join(sets.select(F.col("did").alias("b"), F.col("items").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return xy.filter(100 * shared >= least * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+    def joined(pairs: DataFrame, given: DataFrame) -> DataFrame:
+        left, right = (given.select(*[F.col(c).alias(f"{side}_{c}") for c in given.columns]) for side in "ab")
+        return pairs.join(left, F.col("a") == F.col("a_did")).join(right, F.col("b") == F.col("b_did"))
+
+    def alike(shared: F.Column, n: F.Column) -> F.Column:
+        return 100 * shared >= least * (n - shared)
+
+    if narrow:
+        bits = F.array_distinct(F.transform("items", lambda x: (x.bitwiseAND(F.lit(0xFFFF)) - 0x8000).cast("short")))
+        cut = sets.select("did", F.size("items").alias("n"), bits.alias("bits"))
+        merged = F.least(F.col("a_n") - F.size("a_bits"), F.col("b_n") - F.size("b_bits"))
+        most = F.size(F.array_intersect("a_bits", "b_bits")) + merged
+        pairs = written(joined(pairs, cut).filter(alike(most, F.col("a_n") + F.col("b_n"))).select("a", "b"), "narrowed")
+    shared = F.size(F.array_intersect("a_items", "b_items"))
+    return joined(pairs, sets).filter(alike(shared, F.size("a_items") + F.size("b_items"))).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -320,13 +340,14 @@ def grouped(
     """did, n_shingles, component (did of the least document reachable), one row for each row of ``docs``."""
     base = written(sketched(docs, size, values, trees, depth), "sketches")
     full = base.filter("n_shingles > 0")
-    first = full.groupBy("s1", "s2").agg(F.min("did").alias("rep"))
-    reps = full.join(first, ["s1", "s2"]).filter("did = rep")
-    classes = written(reps.groupBy("rep").agg(F.max(F.struct("n_shingles", "keys", "rests", "sketch")).alias("x")).select("rep", "x.*"), "classes")
+    first = written(full.groupBy("s1", "s2").agg(F.min("did").alias("rep")), "first")
+    reps = full.join(first.select(F.col("rep").alias("did")).distinct(), "did", "left_semi")
+    classes = reps.groupBy("did").agg(F.max(F.struct("n_shingles", "marks", "tops", "rests", "sketch")).alias("x")).select(F.col("did").alias("rep"), "x.*")
+    classes = written(classes, "classes")
     rows = written(shared(regions(classes)), "regions")
     crowd = rows.groupBy("region").agg(F.count("*").alias("n"))
     pairs = written(next_ones(rows).distinct(), "near1")
-    links = written(confirmed(pairs, classes, docs, size, least, deviations), "links1")
+    links = written(confirmed(written(likely(pairs, classes, least, deviations), "likely"), docs, size, least, False), "links1")
     tested, reach, round_ = pairs, 1, 1
     while True:
         comps = components(links)
@@ -339,9 +360,9 @@ def grouped(
         if most is None:
             break
         reach, round_ = window if round_ == 1 else 8 * reach, round_ + 1
-        known = open_.join(classes.select("rep", "n_shingles", "keys", "sketch"), "rep")
+        known = open_.join(classes.select("rep", "n_shingles", "marks", "sketch"), "rep")
         pairs = written(neighbours(known, reach, least, deviations).join(tested, ["a", "b"], "left_anti"), f"near{round_}")
-        more = written(confirmed(pairs, classes, docs, size, least, deviations), f"links{round_}")
+        more = written(confirmed(pairs, docs, size, least, True), f"links{round_}")
         tested, links = tested.union(pairs), links.union(more)
     named = first.join(comps, "rep", "left").select("s1", "s2", F.coalesce("comp", "rep").alias("component"))
     own = base.select("did", "n_shingles", "s1", "s2")
