@@ -96,6 +96,12 @@ def test_inspect_characters(spark):
     ]
 
 
+def test_marked(spark):
+    pieces = frame(spark, ["a b\tc\xa0\u200b\xe9\n"]).select(scan.marked(F.col("text")).alias("m")).first()["m"]
+    assert [(m["kind"], m["text"]) for m in pieces] == [("plain", "a b"), ("tab", "\t"), ("plain", "c"), ("space", "\xa0"), ("invisible", "U+200B"), ("other", "\xe9"), ("plain", "\n")]
+    assert pieces[4]["title"] == "zero-width space (U+200B)" and pieces[0]["title"] is None
+
+
 def test_stats(spark):
     s = frame(spark, ["Hello world.\n\nSecond paragraph here.", "", None]).select(stats.compute_stats(F.col("text")).alias("s")).collect()
     assert [s[0]["s"][k] for k in ("words", "paragraphs", "lines", "sentences", "characters", "charactersNoSpaces")] == [5, 2, 3, 2, 36, 31]

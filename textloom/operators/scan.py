@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import chars as C
-from textloom.functions import linewise, markup
+from textloom.functions import linewise, markup, repair
 from textloom.functions.core import let, lines, rx, trim
 
 
@@ -168,3 +168,39 @@ def inspect_characters(df: DataFrame, key: str, column: str = "text", limit: int
     return ranked.withColumn("code_point", code_point(F.col("char"))).select(
         key, F.col("rank").cast("long"), cp.cast("long"), "count", label(cp).alias("label"), name(cp).alias("name"), "char", printable(cp).alias("printable")
     )
+
+
+#: Unprintable characters other than line feeds, tabs and unusual spaces (fixed values).
+HIDDEN_POINTS = "0-8 B-1F 7F-9F 200B-200F 2028-202E 2060-206F FE00-FE0F FEFF FFFC E000-F8FF E0000-E007F"
+#: Kinds of marks, with the class of characters that each takes; what is left over is ``other``.
+MARKS = (("tab", "\\t"), ("space", C.body(C.EXOTIC_POINTS)), ("invisible", C.body(HIDDEN_POINTS)))
+
+
+def marked(t: Column) -> Column:
+    """The text in pieces (kind, text, title), for showing what is hidden in it: runs of plain text, and each other character.
+
+    Kinds: plain, tab, space (looks like one), invisible, other. Invisible characters are shown by their label.
+    """
+    pieces = F.regexp_extract_all(repair.newlines(F.coalesce(t, F.lit(""))), F.lit("[\\n -~]+|[^\\n -~]"), F.lit(0))
+
+    def one(p: Column) -> Column:
+        kind = F.when(p.rlike("^[\\n -~]"), "plain")
+        for k, body in MARKS:
+            kind = kind.when(p.rlike(f"^[{body}]"), k)
+
+        def shown(kind: Column) -> Column:
+            cp = F.when(kind != "plain", code_point(p))
+            named = F.concat(name(cp), F.lit(" ("), label(cp), F.lit(")"))
+            title = F.when(kind == "tab", "tab").when(kind == "space", F.concat(named, F.lit(": looks like a space, but is not one"))).when(kind != "plain", named)
+            return F.struct(kind.alias("kind"), F.when(kind == "invisible", label(cp)).otherwise(p).alias("text"), title.alias("title"))
+
+        return let(kind.otherwise("other"), shown)
+
+    return F.transform(pieces, one)
+
+
+def mark_counts(df: DataFrame, key: str, column: str = "text") -> DataFrame:
+    """(key, tab, space, invisible, other): how many marks of each kind."""
+    kinds = F.transform(marked(F.col(column)), lambda m: m["kind"])
+    of = lambda k: F.size(F.filter(F.col("kinds"), lambda x: x == k)).cast("long").alias(k)
+    return df.select(key, kinds.alias("kinds")).select(key, *[of(k) for k in ("tab", "space", "invisible", "other")])

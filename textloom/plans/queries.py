@@ -444,6 +444,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out["scan_lines"] = lambda s, sf: scan.scan_wide(dirty(s, sf, LINES))
     out["inspect_characters_topk"] = lambda s, sf: scan.inspect_characters(dirty(s, sf, DIRT), "doc_id").select("doc_id", "rank", "code_point", "count", "label", "char")
     out["inspect_character_names"] = lambda s, sf: scan.inspect_characters(dirty(s, sf, DIRT), "doc_id").select("doc_id", "rank", "name", "printable")
+    out["mark_counts"] = lambda s, sf: scan.mark_counts(dirty(s, sf, DIRT), "doc_id")
     out["doc_stats"] = lambda s, sf: stats.doc_stats(table(s, sf, "documents").select("doc_id", "text"))
     out["conversation_stats"] = lambda s, sf: stats.doc_stats(table(s, sf, "conversations").select("conv_id", "turn", "text"))
     out["word_frequency"] = lambda s, sf: stats.word_frequency(table(s, sf, "documents"), "doc_id")
@@ -514,6 +515,8 @@ def oracle_sql() -> dict[str, str]:
     out["scan_lines"] = sql_scan(source_sql(LINES)) + " SELECT * FROM s2"
     out["scan_long"] = sql_scan(source_sql(DIRT)) + SCAN_LONG_TAIL
     out["inspect_characters_topk"] = fill(INSPECT_SQL, source=source_sql(DIRT))
+    kinds = {k: f"[{b}]" for k, b in scan.MARKS} | {"other": "[^\\n -~" + "".join(b for _, b in scan.MARKS) + "]"}
+    out["mark_counts"] = steps(source_sql(DIRT), [NEWLINES], "doc_id, " + ", ".join(f'{sql_count(p)} AS "{k}"' for k, p in kinds.items()))
     out["doc_stats"] = fill(STATS_SQL, source="SELECT doc_id, text AS t FROM documents", key="doc_id")
     out["conversation_stats"] = fill(STATS_SQL, source="SELECT conv_id, turn, text AS t FROM conversations", key="conv_id, turn")
     out["word_frequency"] = FREQUENCY_SQL
