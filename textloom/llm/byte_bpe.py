@@ -23,7 +23,7 @@ from itertools import chain, islice
 
 from pyspark.sql import DataFrame
 
-from textloom.llm.common import map_rows
+from textloom.llm.common import map_rows, one_model
 
 #: Bounds of the tables in each Python worker.
 MAX_STATES = 120_000
@@ -32,6 +32,44 @@ MAX_LENGTH = 64
 MAX_PAIRS = 400_000
 CHUNK = 4096
 
+#: Letters and numbers of Unicode versions after 16, which the tokenizer's own tables do not have yet.
+LATER_LETTERS = (
+    "558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 "
+    "10ED9-10EEE 11B0A 11DB0-11DDB 11DF1 16EA0-16EB8 16EBB-16ED3 16FF2-16FF3 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 "
+    "18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 "
+    "1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
+)
+LATER_NUMBERS = "11DE0-11DE9 1246F 12475-1247F 12550-12686 16FF4-16FF6"
+
+
+def _inside(points: str) -> str:
+    """A class body of code points and ranges."""
+    return "".join("-".join(f"\\U{int(x, 16):08x}" for x in part.split("-")) for part in points.split())
+
+
+class _Split:
+    """Texts into words by the pattern, in the tokenizer's Unicode version."""
+
+    def __init__(self, pattern: str):
+        import regex
+
+        # the engine's \s also takes U+001C to U+001F, which are no white space to the tokenizer
+        pattern = pattern.replace(r"[^\s\p{L}", r"[^\p{White_Space}\p{L}").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")
+        letters, numbers = _inside(LATER_LETTERS), _inside(LATER_NUMBERS)
+        exact = pattern.replace(r"[^\p{White_Space}\p{L}\p{N}]", f"[[^\\p{{White_Space}}\\p{{L}}\\p{{N}}]||[{letters}{numbers}]]")
+        exact = exact.replace(r"?\p{L}+", f"?[\\p{{L}}--[{letters}]]+").replace(r"?\p{N}+", f"?[\\p{{N}}--[{numbers}]]+")
+        self.usual = regex.compile(pattern).findall
+        self.exact = regex.compile(exact, regex.V1).findall
+        self.later = regex.compile(f"[{letters}{numbers}]").search
+
+    def __call__(self, text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            if self.later(text):
+                return self.exact(text)
+        return self.usual(text)
+
 
 def vocabulary(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -51,8 +89,8 @@ class _State(dict):
 
 
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES):
-        self.ranks, self.max_states = ranks, max_states
+    def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES, max_pairs: int = MAX_PAIRS):
+        self.ranks, self.max_states, self.max_pairs = ranks, max_states, max_pairs
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.child: dict[int, int] = {}  # node * 256 + byte -> node
         self.token: list[int] = [-1]  # id of the token that a node spells
@@ -96,7 +134,7 @@ class Transducer:
         """Whether ``right`` can follow ``left`` (-1: the word's start)."""
         found = self.pairs.get((left, right))
         if found is None:
-            if len(self.pairs) >= MAX_PAIRS:
+            if len(self.pairs) >= self.max_pairs:
                 self.pairs.clear()
             if left < 0:
                 found = self.merge(self.bytes_of[right]) == [right]
@@ -214,21 +252,31 @@ class Utf8Stream:
 
 
 class ByteBpe:
-    """Encoder and decoder for one rank file; ``pattern`` splits a text into words that are merged apart."""
+    """Encoder and decoder for one rank file; ``pattern`` splits a text into words that are merged apart.
 
-    def __init__(self, path: str, pattern: str | None = None, max_words: int = MAX_WORDS):
-        import regex
+    ``room`` scales the tables' bounds: 1 takes about 400 MB, 2 about 550 MB, less is slower.
+    """
 
+    def __init__(self, path: str, pattern: str | None = None, room: float = 1.0):
         if pattern is None:
             import public_tokenizers
 
             pattern = public_tokenizers.PATTERN
-        # the engine's \s also takes U+001C to U+001F, which are no white space to the tokenizer
-        self.split = regex.compile(pattern.replace(r"[^\s\p{L}", r"[^\p{White_Space}\p{L}").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")).findall
-        self.machine = Transducer(vocabulary(path))
-        self.words = _Words(self.machine, max_words)
+        self.split = _Split(pattern)
+        self.machine = Transducer(vocabulary(path), int(room * MAX_STATES), int(room * MAX_PAIRS))
+        self.words = _Words(self.machine, int(room * MAX_WORDS))
         self.bytes_of = self.machine.bytes_of
 
+    def close(self) -> None:
+        """Take the tables apart, as they point at each other."""
+        self.machine.reset()
+        self.machine.start.clear()
+        self.machine.states.clear()
+        self.machine.pairs.clear()
+        self.machine.child.clear()
+        self.words.clear()
+        self.words.old.clear()
+
     def encode(self, text: str | None) -> list[int]:
         return list(chain.from_iterable(map(self.words.__getitem__, self.split(text or ""))))
 
@@ -248,15 +296,14 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
-_loaded: dict[str, ByteBpe] = {}
-
+def tokenizer(path: str, room: float = 1.0) -> ByteBpe:
+    """One a worker. Its tables are many small objects, so the cycle collector is kept off them while it is there."""
 
-def tokenizer(path: str) -> ByteBpe:
-    """One a worker and file. Its tables are millions of small objects without cycles, so the cycle collector is kept off them."""
-    if path not in _loaded:
-        _loaded[path] = ByteBpe(path)
+    def load() -> ByteBpe:
         gc.disable()
-    return _loaded[path]
+        return ByteBpe(path, room=room)
+
+    return one_model(("bpe", path, room), load)
 
 
 def encode(docs: DataFrame, path: str | None = None, keep: list[str] | None = None) -> DataFrame:
@@ -283,12 +330,15 @@ def decode(encoded: DataFrame, path: str | None = None, keep: list[str] | None =
     return map_rows(encoded.select(*keep, "ids"), f"{kinds}, text string", make, 4 << 20)
 
 
-def encoded_and_checked(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, source, ids, n_tokens, round_trip: whether the decoded ids are the text (null texts: the empty one)."""
+def encoded_and_checked(docs: DataFrame, path: str | None = None, room: float = 0.5) -> DataFrame:
+    """doc_id, source, ids, n_tokens, round_trip: whether the decoded ids are the text (null texts: the empty one).
+
+    Small tables by default: in a pipeline the workers share an executor with joins.
+    """
     path = path or default_path()
 
     def make():
-        bpe = tokenizer(path)
+        bpe = tokenizer(path, room)
 
         def run(c):
             ids = [bpe.encode(t) for t in c["text"]]
@@ -298,15 +348,15 @@ def encoded_and_checked(docs: DataFrame, path: str | None = None) -> DataFrame:
         return run
 
     schema = "doc_id long, source string, ids array<int>, n_tokens long, round_trip boolean"
-    return map_rows(docs.select("doc_id", "source", "text"), schema, make, 4 << 20)
+    return map_rows(docs.select("doc_id", "source", "text"), schema, make, 2 << 20)
 
 
-def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
+def digest(docs: DataFrame, path: str | None = None, room: float = 2.0) -> DataFrame:
     """The contract's columns: doc_id, n_tokens, ids_sha256, decoded_sha256. Encodes and decodes in one pass over the texts."""
     path = path or default_path()
 
     def make():
-        bpe = tokenizer(path)
+        bpe = tokenizer(path, room)
         decimal = {i: str(i) for i in bpe.bytes_of}
 
         def run(c):

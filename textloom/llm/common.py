@@ -7,6 +7,7 @@ results. Only named input columns are read, so extra columns cannot clash with w
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import pyarrow as pa
@@ -51,6 +52,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_model: list[tuple] = []
+
+
+def one_model(key: tuple, make):
+    """The large model of a Python worker: there is one, and asking for another lets it go (by its ``close``, if it has one)."""
+    if not _model or _model[0][0] != key:
+        while _model:
+            getattr(_model.pop()[1], "close", int)()
+        gc.enable()
+        _model.append((key, make()))
+    return _model[0][1]
+
+
 def map_rows(df: DataFrame, schema: str, make, bytes_per_call: int = 16 << 20) -> DataFrame:
     """``make()`` runs once a task and gives ``f(columns: dict of lists) -> dict of lists``, called on slices of Arrow batches.
 

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import map_rows
+from textloom.llm.common import map_rows, one_model
 
 TRAIN_DOCS = 64
 TRAIN_CHARS = 30_000
@@ -179,16 +179,9 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAI
     return out
 
 
-_parsers: dict[tuple, Parser] = {}
-
-
 def parser(model: dict[str, str]) -> Parser:
     """One a worker and model."""
-    key = tuple(sorted(model.items()))
-    if key not in _parsers:
-        _parsers.clear()
-        _parsers[key] = Parser(model)
-    return _parsers[key]
+    return one_model(("language", *sorted(model.items())), lambda: Parser(model))
 
 
 def predict(docs: DataFrame, model: dict[str, str]) -> DataFrame:
