@@ -224,6 +224,19 @@ def test_language_cases(spark):
     assert nothing["lang_pred"] == "und"
 
 
+def test_a_scarce_language_cuts_no_other(spark):
+    rng = random.Random(21)
+    words = {k: ["".join(rng.choice(a) for _ in range(rng.randint(2, 7))) for _ in range(120)] for k, a in (("en", "aeinorst"), ("de", "aeinorsu"))}
+    rows = [(i, " ".join(rng.choice(words[k]) for _ in range(60)), k) for i, k in enumerate(["en", "de"] * 40)]
+    # one row of 20 letters, and a language whose first 64 ids have no letter
+    rows += [(100, "qqqq wwww zzzz xxxx yyyy", "xx"), *((1000 + i, ("", "12 34", None)[i % 3], "fr") for i in range(700)), *((2000 + i, "ç œuvre ça" + " où" * i, "fr") for i in range(9))]
+    model = language_id.train(frame(spark, rows))
+    assert set(model) == {"en", "de", "xx", "fr"}
+    got = language_id.Parser(model).predict([t for _, t, _ in rows[:80]])[0]
+    assert np.mean([g == k for g, (*_, k) in zip(got, rows, strict=False)]) > 0.97
+    assert language_id.shared_out([5, 100, 20, 100], 75) == [5, 25, 20, 25] and language_id.shared_out([3, 4], 100) == [3, 4]
+
+
 # --- quality
 
 

@@ -7,9 +7,11 @@ divided by the characters parsed, is the cross-parsing entropy; the language wit
 The automata become one dense table (state, letter) -> (state, piece ended), so numpy parses thousands of segments of
 ``SEGMENT`` characters against all languages at once. A segment starts a new piece; whole texts are parsed.
 
-Training takes ``TRAIN_DOCS`` documents a language at most (least hashes of the id first) and ``TRAIN_CHARS`` characters of
-each language's text, the same number for all: the bounds of the model, whatever the corpus. The table is rebuilt by each
-worker from that text.
+Training takes ``TRAIN_DOCS`` documents with a letter a language at most (least hashes of the id first) and ``TRAIN_CHARS``
+characters of each language's text, shared evenly by its documents: the bounds of the model, whatever the corpus. Each
+language keeps all of its own text, however little another has, and its pieces cost log2 of its own letters, but never less
+than log2 of ``LEAST_LETTERS``: a handful of letters would otherwise make pieces so cheap that they win every text. The table
+is rebuilt by each worker from that text.
 
 Defined cases: null texts and texts without a letter give ``und`` with score 0; ties take the language first in code-point
 order; null languages and texts never train; with nothing to learn from, every text is ``und``; a row is a document.
@@ -25,6 +27,7 @@ from textloom.llm.common import map_rows, one_model
 
 TRAIN_DOCS = 64
 TRAIN_CHARS = 30_000
+LEAST_LETTERS = 1_000
 SEGMENT = 512
 UNKNOWN = "und"
 
@@ -79,20 +82,19 @@ def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
 
 
 class Parser:
-    """All languages' automata in one table. ``model``: language -> training text, equally long."""
+    """All languages' automata in one table. ``model``: language -> training text, of any length."""
 
     def __init__(self, model: dict[str, str]):
         self.languages = sorted(model, key=str.encode)
         texts = {k: letters(model[k]) for k in self.languages}
-        least = min((len(t) for t in texts.values()), default=0)
         alphabet = np.unique(np.concatenate([np.array([32], np.uint32), *texts.values()]))
         self.width = len(alphabet) + 1  # the last column: letters never met
         self.column = np.full(0x110000, len(alphabet), np.int32)
         self.column[alphabet] = np.arange(len(alphabet))
-        self.bits = np.log2(max(least, 2))
+        self.bits = np.log2([max(len(texts[k]), LEAST_LETTERS) for k in self.languages])  # a piece, by language
         parts, self.starts, base = [], [], 0
         for k in self.languages:
-            go = suffix_automaton(self.column[texts[k][:least]].tolist())
+            go = suffix_automaton(self.column[texts[k]].tolist())
             table = np.zeros((len(go), self.width), np.int64)
             root = np.ones(self.width, np.int64) + 2 * base * self.width  # not even a first letter: a piece of its own
             for c, s in go[0].items():
@@ -158,22 +160,32 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 5 == 0, F.lit(False))
 
 
+def shared_out(sizes: list[int], total: int) -> list[int]:
+    """What each of ``sizes`` gives to ``total``: the same from all, short ones all they have, the others what those leave."""
+    out, left = [0] * len(sizes), total
+    order = sorted(range(len(sizes)), key=lambda i: sizes[i])
+    for n, i in enumerate(order):
+        out[i] = min(sizes[i], left // (len(order) - n))
+        left -= out[i]
+    return out
+
+
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS) -> dict[str, str]:
-    """language -> training text. Ids are chosen from two narrow columns; then only the chosen texts are read."""
-    given = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    """language -> training text. Ids are chosen among texts with a letter; then only the chosen texts are collected."""
+    given = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & F.col("text").rlike(r"\p{L}"))
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = given.select("doc_id", "lang").withColumn("k", F.row_number().over(first)).filter(F.col("k") <= train_docs)
     ids = sorted({r["doc_id"] for r in chosen.select("doc_id").collect()})
     if not ids:
         return {}
-    rows = given.filter(F.col("doc_id").isin(ids) & F.col("text").isNotNull()).select("doc_id", "lang", F.substring("text", 1, train_chars).alias("text")).collect()
+    rows = given.filter(F.col("doc_id").isin(ids)).select("doc_id", "lang", F.substring("text", 1, train_chars).alias("text")).collect()
     texts: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["doc_id"], r["lang"], r["text"])):
         texts.setdefault(r["lang"], []).append(r["text"])
     out = {}
     for k, all_texts in texts.items():
-        share = max(200, -(-train_chars // len(all_texts)) * 2)  # of each document: many voices
-        joined = "\n".join(t[:share] for t in all_texts)[:train_chars]
+        shares = shared_out([len(t) for t in all_texts], train_chars)  # of each document: many voices
+        joined = "\n".join(t[:n] for t, n in zip(all_texts, shares, strict=True))
         if len(letters(joined)):
             out[k] = joined
     return out
