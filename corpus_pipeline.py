@@ -16,7 +16,8 @@ ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language stay; those without a letter or text go. ``lang`` is left as it was given."""
+    """Documents in a learned language stay and ``lang`` becomes that language; those without a letter or text, and those that no
+    learned language explains (``language_id.limits``), go. Without a labelled text all with a letter stay, ``lang`` as given."""
     return language_id.identified(docs, language_id.train(docs))
 
 

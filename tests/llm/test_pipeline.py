@@ -48,6 +48,22 @@ def test_stages(spark, tmp_path):
     assert len(last) == sum(copies.values()) and all(r["round_trip"] and r["n_tokens"] == len(r["ids"]) for r in last)
 
 
+def test_the_language_verdict_takes_effect(spark, tmp_path):
+    rng = random.Random(22)
+    words = {k: ["".join(rng.choice(a) for _ in range(rng.randint(2, 7))) for _ in range(120)] for k, a in (("en", "aeinorst"), ("de", "bcdefghu"))}
+    say = lambda k, n=60: " ".join(rng.choice(words[k]) for _ in range(n))
+    junk = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    # 203 is held out of training: a wrong label that trains is learned
+    clean = [(i, say(k), k, "a") for i, k in enumerate(["en", "de"] * 30)]
+    odd = [(100, say("en"), None, "a"), (203, say("de"), "en", "a"), (102, say("en", 2), None, "a"), (103, junk(400), None, "a"), (104, "日本語の文章" * 40, None, "a"), (105, "12 34", "en", "a")]
+    got = {r["doc_id"]: r["lang"] for r in staged(spark, frame(spark, clean + odd), tmp_path / "1", 1).collect()}
+    assert got == {i: k for i, _, k, _ in clean} | {100: "en", 203: "de", 102: "en"}
+    # nothing to learn from: only texts without a letter go
+    blank = [(i, t, None, s) for i, t, _, s in clean + odd]
+    kept = {r["doc_id"]: r["lang"] for r in staged(spark, frame(spark, blank), tmp_path / "2", 1).collect()}
+    assert kept == {i: None for i, *_ in blank if i != 105}
+
+
 def test_run_equals_the_stages(spark, tmp_path):
     docs = frame(spark, rows_for(random.Random(21)))
     docs.write.parquet(str(tmp_path / "documents.parquet"))

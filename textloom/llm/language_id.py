@@ -13,6 +13,12 @@ language keeps all of its own text, however little another has, and its pieces c
 than log2 of ``LEAST_LETTERS``: a handful of letters would otherwise make pieces so cheap that they win every text. The table
 is rebuilt by each worker from that text.
 
+A verdict turns a text away whose entropy is over ``REJECT_BITS`` (text of a learned language needs 2 to 4 bits a character,
+of another one about 5 or more, random letters 8), with ``SPARE_PIECES`` pieces more for the chances of short texts. Little
+training text explains little: a language's limit is at least ``REJECT_RATIO`` times the entropy of one half of its training
+text against the other half. With nothing to learn from, only texts without a letter are turned away.
+A wrong label among the training texts is learned like a right one.
+
 Defined cases: null texts and texts without a letter give ``und`` with score 0; ties take the language first in code-point
 order; null languages and texts never train; with nothing to learn from, every text is ``und``; a row is a document.
 """
@@ -29,6 +35,9 @@ TRAIN_DOCS = 64
 TRAIN_CHARS = 30_000
 LEAST_LETTERS = 1_000
 SEGMENT = 512
+REJECT_BITS = 4.6
+REJECT_RATIO = 1.25
+SPARE_PIECES = 6
 UNKNOWN = "und"
 
 _letters: list[np.ndarray] = []
@@ -154,6 +163,23 @@ class Parser:
             [float(r) if k else 0.0 for r, k in zip(least, n, strict=True)],
         )
 
+    def verdicts(self, texts: list[str | None], limit: dict[str, float]) -> list[str | None]:
+        """The language of each text, ``und`` if there is none to choose from; None for one to turn away. ``limit``: by ``limits``."""
+        if not self.languages:
+            return [UNKNOWN if t and len(letters(t)) else None for t in texts]
+        spare = {k: SPARE_PIECES * b for k, b in zip(self.languages, self.bits, strict=True)}
+        lang, _, bits = self.predict(texts)
+        return [k if k != UNKNOWN and (b <= limit[k] or (b - limit[k]) * len(letters(t)) <= spare[k]) else None for t, k, b in zip(texts, lang, bits, strict=True)]
+
+
+def limits(model: dict[str, str]) -> dict[str, float]:
+    """The most bits a character that a text of each language may need."""
+    out = {}
+    for k, text in model.items():
+        half = len(text) // 2
+        out[k] = max(REJECT_BITS, REJECT_RATIO * Parser({k: text[:half]}).predict([text[half:]])[2][0])
+    return out
+
 
 def held_out() -> F.Column:
     """Whether crc32 of the id as text is divisible by 5."""
@@ -172,7 +198,9 @@ def shared_out(sizes: list[int], total: int) -> list[int]:
 
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS) -> dict[str, str]:
     """language -> training text. Ids are chosen among texts with a letter; then only the chosen texts are collected."""
-    given = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & F.col("text").rlike(r"\p{L}"))
+    # a long text is decoded whole only where its start has no letter
+    letter = F.substring("text", 1, 100).rlike(r"\p{L}") | F.col("text").rlike(r"\p{L}")
+    given = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & letter)
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = given.select("doc_id", "lang").withColumn("k", F.row_number().over(first)).filter(F.col("k") <= train_docs)
     ids = sorted({r["doc_id"] for r in chosen.select("doc_id").collect()})
@@ -213,17 +241,24 @@ def predict(docs: DataFrame, model: dict[str, str]) -> DataFrame:
 
 
 def identified(docs: DataFrame, model: dict[str, str]) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text has a language; ``und`` goes. One pass, no shuffle."""
+    """The rows of ``docs`` that the verdict keeps, all columns; ``lang`` becomes the language found, if any was learned. One pass, no shuffle."""
+    limit = limits(model)
 
     def run(batches):
         import pyarrow as pa
 
         p = parser(model)
         for batch in batches:
-            texts = batch.column(batch.schema.names.index("text"))
+            names = batch.schema.names
+            texts, place = batch.column(names.index("text")), names.index("lang")
             for at in range(0, batch.num_rows, 1024):
-                langs = p.predict(texts.slice(at, 1024).to_pylist())[0]
-                yield batch.slice(at, 1024).filter(pa.array([x != UNKNOWN for x in langs]))
+                found = p.verdicts(texts.slice(at, 1024).to_pylist(), limit)
+                part = batch.slice(at, 1024)
+                if model:
+                    columns = part.columns
+                    columns[place] = pa.array(found, batch.schema.field(place).type)
+                    part = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+                yield part.filter(pa.array([k is not None for k in found]))
 
     return docs.mapInArrow(run, docs.schema)
 
