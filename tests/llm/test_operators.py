@@ -138,6 +138,23 @@ def test_secret_scan(spark):
     assert (5, "[SECRET]\n" * 3) in by_text
 
 
+def test_prose_is_counted_over_all_whole_texts(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "HELD_WORDS", 50)
+    rng = random.Random(23)
+    rows = [(None if i % 7 == 0 else i, pick(12, rng) + " \xe9t\xe9 X_9") for i in range(700)] + [(800, pick(1500, rng) + " quokkas" * 3), (801, None), (802, "")]
+    found, by_hand = secrets.prose_of(frame(spark, rows), 60), secrets.Prose([t for _, t in rows if t is not None], 60)
+    assert found.words == by_hand.words and np.array_equal(found.cost, by_hand.cost)
+    assert "quokkas" in secrets.prose_of(frame(spark, rows)).words
+
+
+def test_candidates_are_taken_and_scored_whole():
+    key = "Q" * 100 + "7" + "z" * 400
+    assert secrets.candidates("so " + key) == [(3, 3 + len(key))]
+    prose = secrets.Prose(["some words"])
+    assert secrets.features(prose, "", "Ab3" * 90, "") != secrets.features(prose, "", "Ab3" * 90 + "-/" * 90, "")
+    assert secrets.candidates("w" * 300_000) == []
+
+
 # --- byte-level BPE
 
 

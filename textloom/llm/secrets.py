@@ -5,10 +5,10 @@ share of digits, capitals and symbols, entropy, mean log-probability of characte
 dictionary words, whether it looks like a path, address or number, a fixed prefix of known key formats, and the words next
 to it. The forest is trained in numpy on labelled findings: (before, value, after, label) rows. Those given by default are
 generated from a seed by ``findings``: keys of public formats as positives; hashes, ids, paths, addresses, placeholders
-and long words as negatives. The transition table and the dictionary come from a bounded sample of the corpus.
+and long words as negatives. The transition table and the dictionary are counted over all texts, whole; what reaches the
+driver is the table and the ``DICTIONARY`` most frequent words (ties: first in code-point order).
 
-Defined cases: null and empty texts have no candidate; candidates of any length are scored, by their first 256 characters;
-overlapping patterns give one candidate, the longest from the left; a row is a document; scores at ``THRESHOLD`` or more
+Defined cases: null and empty texts have no candidate; candidates of any length are scored whole; overlapping patterns give one candidate, the longest from the left; a row is a document; scores at ``THRESHOLD`` or more
 are secrets.
 """
 
@@ -29,13 +29,15 @@ from textloom.llm.common import map_rows
 THRESHOLD = 0.5
 TREES = 40
 DEPTH = 9
-SAMPLE_DOCS = 300
+DICTIONARY = 4000
+#: Distinct words that a task holds before it hands on their counts.
+HELD_WORDS = 200_000
 NAMES = r"pass(?:word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key|key"
 #: Fixed prefixes of public key formats.
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "github_pat_", "xoxb-", "xoxp-", "sk_live_", "sk_test_", "sk-", "AIza", "SG.", "glpat-", "npm_", "eyJ")
 CANDIDATE = re.compile(
     rf"(?i:\b(?:[\w-]*(?:{NAMES}))[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?)([^\s\"',;]{{6,}})"
-    rf"|(?<![A-Za-z0-9_+/=.-])((?=[A-Za-z_+/=.-]{{0,64}}[0-9]|{'|'.join(map(re.escape, PREFIXES))})[A-Za-z0-9_+/=.-]{{16,}})"
+    rf"|(?<![A-Za-z0-9_+/=.-])((?=[A-Za-z_+/=.-]*+[0-9]|{'|'.join(map(re.escape, PREFIXES))})[A-Za-z0-9_+/=.-]{{16,}})"
 )
 NEAR = 24  # characters on each side that count as neighbours
 #: Words beside a value that speak for and against a secret.
@@ -43,6 +45,7 @@ FOR = ("password", "passwd", "secret", "token", "key", "auth", "credential", "be
 AGAINST = ("commit", "sha", "md5", "checksum", "uuid", "version", "isbn", "order", "example", "hash", "revision", "digest", "file", "path", "build", "test", "sample", "http", "www")
 PLACEHOLDER = re.compile(r"(?i)change|example|your|xxx|placeholder|dummy|\*\*\*|<|\$\{|todo|sample|null|none|true|false")
 CHARS = "abcdefghijklmnopqrstuvwxyz0123456789_"
+WORD = re.compile(r"[^\W\d_]{3,}")
 
 
 def candidates(text: str | None) -> list[tuple[int, int]]:
@@ -57,20 +60,41 @@ def candidates(text: str | None) -> list[tuple[int, int]]:
     return out
 
 
+_columns: list[np.ndarray] = []
+
+
+def count(text: str, seen: Counter) -> np.ndarray:
+    """The text's transitions by pair; its words are added to ``seen``."""
+    if not _columns:
+        _columns.append(np.full(0x110000, len(CHARS), np.int64))
+        _columns[0][[ord(c) for c in CHARS]] = np.arange(len(CHARS))
+    text = text.lower()
+    seen.update(WORD.findall(text))
+    codes = _columns[0][np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    return np.bincount(codes[:-1] * (len(CHARS) + 1) + codes[1:], minlength=(len(CHARS) + 1) ** 2)
+
+
 class Prose:
     """Transitions and frequent words of ordinary text."""
 
-    def __init__(self, texts: list[str], words: int = 4000):
-        counts, seen = np.ones((len(CHARS) + 1, len(CHARS) + 1)), Counter()
-        place = {c: i for i, c in enumerate(CHARS)}
+    def __init__(self, texts: list[str], words: int = DICTIONARY):
+        pairs, seen = np.zeros((len(CHARS) + 1) ** 2, np.int64), Counter()
         for text in texts:
-            text = text.lower()
-            seen.update(w for w in re.findall(r"[^\W\d_]{3,}", text))
-            codes = [place.get(c, len(CHARS)) for c in text]
-            np.add.at(counts, (codes[:-1], codes[1:]), 1)
-        self.place = place
+            pairs += count(text, seen)
+        self._set(pairs, sorted(seen, key=lambda w: (-seen[w], w))[:words])
+
+    @classmethod
+    def counted(cls, pairs: np.ndarray, words: list[str]) -> Prose:
+        """From the counts of all transitions and the frequent words."""
+        out = cls.__new__(cls)
+        out._set(pairs, words)
+        return out
+
+    def _set(self, pairs: np.ndarray, words: list[str]) -> None:
+        counts = 1.0 + pairs.reshape(len(CHARS) + 1, len(CHARS) + 1)
+        self.place = {c: i for i, c in enumerate(CHARS)}
         self.cost = -np.log2(counts / counts.sum(1, keepdims=True))
-        self.words = {w for w, _ in seen.most_common(words)} | {"password", "token", "secret", "example", "test", "user", "file", "data", "home", "change", "your", "index", "value"}
+        self.words = {*words} | {"password", "token", "secret", "example", "test", "user", "file", "data", "home", "change", "your", "index", "value"}
 
     def surprise(self, value: str) -> float:
         codes = [self.place.get(c, len(CHARS)) for c in value.lower()]
@@ -91,14 +115,14 @@ class Prose:
 
 
 def features(prose: Prose, before: str, value: str, after: str) -> list[float]:
-    v = value[:256]
+    v = value
     n = len(v)
     counts = Counter(v)
     entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
     around = f"{before} {after}".lower()
     kinds = [1 if c.isdigit() else 2 if c.isupper() else 3 if c.islower() else 0 for c in v]
     return [
-        min(len(value), 256),
+        n,
         sum(k == 1 for k in kinds) / n,
         sum(k == 2 for k in kinds) / n,
         sum(k == 0 for k in kinds) / n,
@@ -227,11 +251,37 @@ class Forest:
         return out / len(self.trees)
 
 
-def train(docs: DataFrame, labelled: list[tuple[str, str, str, int]] | None = None, sample: int = SAMPLE_DOCS) -> tuple[Prose, Forest]:
-    """Prose statistics from at most ``sample`` documents (least hashes of the id) and a forest from labelled findings."""
-    ids = [r[0] for r in docs.filter("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
-    texts = [r["text"] for r in docs.filter(F.col("doc_id").isin(ids) & F.col("text").isNotNull()).select("doc_id", F.substring("text", 1, 5000).alias("text")).orderBy("doc_id", "text").collect()]
-    prose = Prose(texts)
+def prose_of(docs: DataFrame, words: int = DICTIONARY) -> Prose:
+    """Prose statistics of all texts: counted in the tasks, summed by key, and only the frequent words collected."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        pairs, seen = np.zeros((len(CHARS) + 1) ** 2, np.int64), Counter()
+        handed = lambda keys, n: pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(n, pa.int64())], ["key", "n"])
+        for batch in batches:
+            for text in batch.column(0):
+                pairs += count(text.as_py(), seen)
+                if len(seen) >= HELD_WORDS:
+                    yield handed(list(seen), list(seen.values()))
+                    seen.clear()
+        yield handed(list(seen), list(seen.values()))
+        met = np.flatnonzero(pairs)
+        yield handed([f" {i}" for i in met], pairs[met])  # no word starts with a space
+
+    total = docs.filter(F.col("text").isNotNull()).select("text").mapInArrow(run, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    table = (len(CHARS) + 1) ** 2
+    rows = total.orderBy(F.col("key").startswith(" ").desc(), F.col("n").desc(), "key").limit(table + words).collect()
+    pairs = np.zeros(table, np.int64)
+    for r in rows:
+        if r["key"][0] == " ":
+            pairs[int(r["key"])] = r["n"]
+    return Prose.counted(pairs, [r["key"] for r in rows if r["key"][0] != " "][:words])
+
+
+def train(docs: DataFrame, labelled: list[tuple[str, str, str, int]] | None = None) -> tuple[Prose, Forest]:
+    """Prose statistics of the whole corpus and a forest from labelled findings."""
+    prose = prose_of(docs)
     words = sorted(w for w in prose.words if w.isascii())
     rows = findings(words) if labelled is None else labelled
     x = np.array([features(prose, b, v, a) for b, v, a, _ in rows])
