@@ -407,6 +407,24 @@ def test_toxicity_cases(spark):
     assert {r["predicted"] for r in one} == {0}
 
 
+def test_a_toxic_passage_counts_wherever_it_lies():
+    rng = random.Random(24)
+    model = toxicity.Model(np.zeros(toxicity.BUCKETS), -0.1)
+    model.known = {"kind": -0.5, "friend": -0.25, **{f"bad{i}": 2.0 + i / 8 for i in range(12)}}
+    clean, bad = ["kind", "friend"] * 80, [f"bad{i}" for i in range(12)]
+    found = model.logits([" ".join(clean[:at] + bad + clean[at:]) for at in range(40, 100, 2)])
+    assert max(found) - min(found) < 1e-6
+    texts = [[rng.choice([*model.known]) for _ in range(rng.randint(1, 200))] for _ in range(30)] + [["kind"] * 90]
+    for words, got in zip(texts, model.logits([" ".join(w) for w in texts]), strict=True):
+        means = []
+        for at in range(max(len(words) - toxicity.SPAN, 0) + 1):
+            w = words[at : at + toxicity.SPAN]
+            one = [x for k, x in enumerate(w) if k == 0 or x != w[k - 1]]
+            means.append(sum(model.known[x] for x in one) / max(len(one), toxicity.SPAN // 4))
+        assert abs(got - (max(means) - 0.1)) < 1e-6
+    assert toxicity.subwords("a" * 70 + "idiot") != toxicity.subwords("a" * 70 + "angel")
+
+
 # --- order MinHash
 
 

@@ -5,9 +5,10 @@ embedding table; a text is the mean of its words. Embeddings and the softmax are
 Misspellings share n-grams with the word they come from. The model is linear after the mean, so a trained word is one
 number, kept in a bounded table per worker, and a text is one lookup a word.
 
-Long texts dilute few bad words, so a text is scored by its windows of ``SPAN`` words (the last one may be shorter) and the
-highest window counts, a run of one word counting once; training averages over such windows too, the model taking for each toxic document the window it
-finds worst, refreshed each epoch.
+Long texts dilute few bad words, so a text is scored by its windows of ``SPAN`` words, one at every word (a shorter text is
+one window), and the highest window counts, a run of one word counting once: where a passage lies makes no difference.
+Training averages over such windows too, the model taking for each toxic document the window it finds worst, at any word,
+refreshed each epoch. Window sums are differences of running sums in fixed point (``UNIT``), so they are exact.
 
 Training takes at most ``TRAIN_DOCS`` labelled rows of each label (least hashes of the id first): the model's bound.
 
@@ -32,6 +33,7 @@ BUCKETS = 1 << 15
 DIM = 6
 GRAMS = (3, 4, 5)
 SPAN = 48
+UNIT = 2.0**30
 EPOCHS = 6
 #: Small training sets run more epochs, until so many steps are made, at most ten times as many.
 STEPS = 150
@@ -44,11 +46,29 @@ def words_of(text: str | None) -> list[str]:
 
 
 def subwords(word: str) -> list[int]:
-    """Rows of the word's bag: of a word over 64 characters its first 64 make the bag."""
-    marked = f"<{word[:64]}>"
+    """Rows of the word's bag."""
+    marked = f"<{word}>"
     last = len(marked) + 1
-    pieces = [marked, *(marked[i : i + n] for n in GRAMS for i in range(last - n))]
-    return [zlib.crc32(p.encode()) % BUCKETS for p in pieces]
+    return [zlib.crc32(marked.encode()) % BUCKETS, *(zlib.crc32(marked[i : i + n].encode()) % BUCKETS for n in GRAMS for i in range(last - n))]
+
+
+def window_means(values: np.ndarray, first: np.ndarray, sizes: np.ndarray, once: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, means) of the windows at every word of texts that lie one after another: text i has ``sizes[i]`` words from ``first[i]``.
+
+    ``once``: whether a word differs from the one before it; the first of a window always counts.
+    """
+    many = np.maximum(sizes - SPAN, 0) + 1
+    at = np.cumsum(many) - many
+    starts = np.arange(many.sum()) + np.repeat(first - at, many)
+    ends = starts + np.repeat(np.minimum(sizes, SPAN), many)
+    fixed = np.rint(values * UNIT).astype(np.int64)
+    sums = np.concatenate([[0], np.cumsum(fixed * once)])
+    counts = np.concatenate([[0], np.cumsum(once.astype(np.int64))])
+    again = ~once[starts]
+    total = sums[ends] - sums[starts] + fixed[starts] * again
+    count = counts[ends] - counts[starts] + again
+    # windows of a few words lean on the mean of SPAN / 4 words at least
+    return starts, total / UNIT / np.maximum(count, SPAN // 4)
 
 
 class Model:
@@ -67,23 +87,22 @@ class Model:
 
     def logits(self, texts: list[str | None]) -> list[float]:
         """The highest window's logit for each text."""
-        known, word, values, starts, owner = self.known, self.word, [], [], []
+        known, word, values, first, owner = self.known, self.word, [], [], []
         for i, text in enumerate(texts):
             at = len(values)
             values += [known[w] if w in known else word(w) for w in words_of(text)]
-            new = range(at, len(values), SPAN)
-            starts += new
-            owner += [i] * len(new)
+            if len(values) > at:
+                first.append(at)
+                owner.append(i)
         out = np.full(len(texts), -np.inf)
-        if starts:
-            v = np.array(values)
-            once = np.ones(len(v))  # a run of one word counts once
+        if first:
+            v, begin = np.array(values), np.array(first)
+            sizes = np.diff(np.append(begin, len(v)))
+            once = np.ones(len(v), bool)  # a run of one word counts once
             once[1:] = v[1:] != v[:-1]
-            once[starts] = 1
-            sums = np.add.reduceat(v * once, starts)
-            sizes = np.add.reduceat(once, starts)
-            # windows of a few words lean on the mean of SPAN / 4 words at least
-            np.maximum.at(out, owner, sums / np.maximum(sizes, SPAN // 4))
+            _, means = window_means(v, begin, sizes, once)
+            many = np.maximum(sizes - SPAN, 0) + 1
+            out[owner] = np.maximum.reduceat(means, np.cumsum(many) - many)
         out[np.isinf(out)] = 0.0
         return (out + self.bias).tolist()
 
@@ -96,7 +115,7 @@ def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int = 5)
     rng = np.random.default_rng(seed)
     vocab: dict[str, int] = {}
     grams: list[list[int]] = []
-    windows, doc_of = [], []
+    windows, doc_of, all_ids, texts_at, cells = [], [], [], [], []
     for i, text in enumerate(texts):
         ids = []
         for w in words_of(text):
@@ -105,13 +124,21 @@ def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int = 5)
                 grams.append(subwords(w))
             if not ids or ids[-1] != vocab[w]:
                 ids.append(vocab[w])
+        base, last = len(all_ids), max(len(ids) - SPAN, 0)
+        # a cell for each SPAN words: the window at its first word, and the places where its worst one may stand
         for at in range(0, len(ids), SPAN):
             windows.append(np.array(ids[at : at + SPAN]))
             doc_of.append(i)
+            cells.append((base + min(at, last), base + min(at + SPAN, last + 1), base + len(ids)))
+        if ids:
+            texts_at.append((base, len(ids)))
+            all_ids += ids
     label = np.array(toxic)
     if not windows or label.min() == label.max():
         return Model(np.zeros(BUCKETS), -30.0)
-    doc_of = np.array(doc_of)
+    doc_of, all_ids = np.array(doc_of), np.array(all_ids)
+    begin, sizes = np.array(texts_at).T
+    once = np.ones(len(all_ids), bool)
     size = np.array([len(g) for g in grams])
     flat = np.concatenate([np.array(g) for g in grams])
     first = np.concatenate([[0], np.cumsum(size)])
@@ -125,7 +152,12 @@ def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int = 5)
             break
         word_vec = np.add.reduceat(emb[flat], first[:-1]) / size[:, None]
         lean = word_vec @ (out[:, 1] - out[:, 0])
-        score = np.array([lean[w].sum() / max(len(w), SPAN // 4) for w in windows])
+        starts, means = window_means(lean[all_ids], begin, sizes, once)
+        at_word = np.full(len(all_ids), -np.inf)
+        at_word[starts] = means
+        place = np.array([lo + at_word[lo:hi].argmax() for lo, hi, _ in cells])  # the worst window of each cell
+        score = at_word[place]
+        worst = [all_ids[p : min(p + SPAN, end)] for p, (*_, end) in zip(place, cells, strict=True)]
         # of each toxic document the worst window (at first: all), of clean ones as many windows, the worst and others by chance
         if epoch < 2:
             bad = np.flatnonzero(label[doc_of] == 1)
@@ -134,12 +166,15 @@ def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int = 5)
             bad = order[np.concatenate([[True], np.diff(doc_of[order]) > 0])]
             bad = bad[label[doc_of[bad]] == 1]
         hard = clean[np.argsort(-score[clean], kind="stable")[: len(bad) // 2]]
-        chosen = np.concatenate([bad, hard, rng.choice(clean, min(len(clean), 2 * len(bad)), replace=False)])
+        # below len(windows): the cell's first window; from there on: its worst
+        moved = len(windows) if epoch >= 2 else 0
+        chosen = np.concatenate([bad + moved, hard + len(windows), rng.choice(clean, min(len(clean), 2 * len(bad)), replace=False)])
+        both = windows + worst
         rng.shuffle(chosen)
         for at in range(0, len(chosen), 256):
             batch = chosen[at : at + 256]
-            count = np.array([len(windows[b]) for b in batch])
-            words, back = np.unique(np.concatenate([windows[b] for b in batch]), return_inverse=True)
+            count = np.array([len(both[b]) for b in batch])
+            words, back = np.unique(np.concatenate([both[b] for b in batch]), return_inverse=True)
             g_size = size[words]
             g = np.concatenate([flat[first[w] : first[w + 1]] for w in words])
             vec = np.add.reduceat(emb[g], np.concatenate([[0], np.cumsum(g_size)[:-1]])) / g_size[:, None]
@@ -148,15 +183,15 @@ def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int = 5)
             z = mean @ out + bias
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            y = label[doc_of[batch]]
+            y = label[doc_of[batch % len(windows)]]
             p[np.arange(len(batch)), y] -= 1
             p /= len(batch)
             d_mean = (p @ out.T) * scale[:, None]
             d_word = np.zeros_like(vec)
             np.add.at(d_word, back, np.repeat(d_mean, count, 0))
-            rows, place = np.unique(g, return_inverse=True)
+            rows, slot = np.unique(g, return_inverse=True)
             d_emb = np.zeros((len(rows), DIM))
-            np.add.at(d_emb, place, np.repeat(d_word / g_size[:, None], g_size, 0))
+            np.add.at(d_emb, slot, np.repeat(d_word / g_size[:, None], g_size, 0))
             step += 1
             for k, (param, at_rows, grad, rate) in enumerate(((emb, rows, d_emb, 0.05), (out, slice(None), mean.T @ p, 0.02), (bias, slice(None), p.sum(0), 0.02))):
                 m, v = moments[2 * k], moments[2 * k + 1]
