@@ -179,12 +179,12 @@ class Transducer:
         return out
 
     def encode(self, word: bytes) -> tuple[int, ...]:
-        state, out = self.start, ()
+        state, out = self.start, []
         for byte in word:
             state, emitted = state[byte]
             if emitted:
                 out += emitted
-        return out + state.flush
+        return (*out, *state.flush)
 
     def stream(self, word: Iterable[int]) -> Iterator[int]:
         """Ids of one word as its bytes come in."""
