@@ -8,8 +8,10 @@ generated from a seed by ``findings``: keys of public formats as positives; hash
 and long words as negatives. The transition table and the dictionary are counted over all texts, whole; what reaches the
 driver is the table and the ``DICTIONARY`` most frequent words (ties: first in code-point order).
 
-Defined cases: null and empty texts have no candidate; candidates of any length are scored whole; overlapping patterns give one candidate, the longest from the left; a row is a document; scores at ``THRESHOLD`` or more
-are secrets.
+Defined cases: null and empty texts have no candidate; candidates of any length are scored whole, in time linear in the
+text; an unnamed candidate has 16 characters or more of ``A-Za-z0-9_+/=.-`` with a digit among them or a known prefix;
+overlapping patterns give one candidate, the longest from the left; of findings that tie at a cut of a tree the left side
+takes them; repeated rows get equal results, one each; scores at ``THRESHOLD`` or more are secrets.
 """
 
 from __future__ import annotations
@@ -32,11 +34,13 @@ DEPTH = 9
 DICTIONARY = 4000
 #: Distinct words that a task holds before it hands on their counts.
 HELD_WORDS = 200_000
-NAMES = r"pass(?:word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key|key"
+#: What a name that sounds like a secret ends in (api_key, access-key, private key: all end in key).
+NAMES = ("pass", "password", "passwd", "pwd", "secret", "token", "auth", "credential", "key")
 #: Fixed prefixes of public key formats.
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "github_pat_", "xoxb-", "xoxp-", "sk_live_", "sk_test_", "sk-", "AIza", "SG.", "glpat-", "npm_", "eyJ")
+#: A name is taken whole, once (possessively), and its end looked back at: each character is read a bounded number of times.
 CANDIDATE = re.compile(
-    rf"(?i:\b(?:[\w-]*(?:{NAMES}))[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?)([^\s\"',;]{{6,}})"
+    rf"(?i:(?<![\w-])[\w-]++(?:{'|'.join(f'(?<={n})' for n in NAMES)})[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?)([^\s\"',;]{{6,}})"
     rf"|(?<![A-Za-z0-9_+/=.-])((?=[A-Za-z_+/=.-]*+[0-9]|{'|'.join(map(re.escape, PREFIXES))})[A-Za-z0-9_+/=.-]{{16,}})"
 )
 NEAR = 24  # characters on each side that count as neighbours
