@@ -8,6 +8,7 @@ results. Only named input columns are read, so extra columns cannot clash with w
 from __future__ import annotations
 
 import gc
+import tempfile
 import uuid
 
 import pyarrow as pa
@@ -36,10 +37,12 @@ def real_id(column: str = "did") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``, set here only where it is unset (tests)."""
+    """The folder every executor can reach: ``spark.checkpoint.dir``, set here only where it is unset and all runs in one process."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        path = "/tmp/textloom-checkpoints"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="textloom-checkpoints-")
         spark.sparkContext.setCheckpointDir(path)
     return path
 

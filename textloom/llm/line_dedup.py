@@ -1,12 +1,16 @@
 """Line dedup with DataFrame functions only.
 
-Lines are exploded with their position, normalised and hashed (MD5: 128 bits); distinct documents are counted per hash with
-map-side partial sums; dropped positions come back to their row and the text is put together again from the stretches of
-lines between them. A hot line costs one row a task in the count; the join against the over-threshold hashes is a plain
-equi-join that adaptive execution splits or broadcasts. Texts move through one shuffle.
+Lines are exploded with their position, normalised and hashed (MD5: 128 bits); distinct documents are counted per hash;
+dropped positions come back to their row and the text is put together again from the stretches of lines between them.
+Texts move through one shuffle.
 
-Defined cases: a null or empty text is one empty line; a row is a document, so a line in two rows of one id counts twice;
-a null id never counts as the largest while another id holds the line; with no rows the result has none.
+A document is an id, so a line counts once for all rows of an id. The first aggregate is by (hash, id), which spreads a hot
+line over the tasks; the second has one partial count a task for it. The ``HOT_LINES`` lines in most documents, a bounded
+set, are told by a broadcast; their rows do not meet in a task but go on under a key of their own.
+
+Defined cases: a null or empty text is one empty line; null ids are one document, less than any other id; rows of one id
+keep the line alike if the id is the largest that holds it; fully repeated rows get equal results, one each; with no rows
+the result has none.
 """
 
 from __future__ import annotations
@@ -14,10 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import ASCII_SPACE, did
+from textloom.llm.common import ASCII_SPACE, did, written
 
 MIN_CHARS = 40
 MIN_DOCS = 5
+#: Lines told by a broadcast, at most (about 50 bytes each).
+HOT_LINES = 2000
 
 
 def lines_of(text: Column) -> Column:
@@ -43,6 +49,8 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
     )
     return (
         docs.select(did().alias("did"), F.explode(hashes).alias("line_hash"))
+        .groupBy("line_hash", "did")
+        .agg(F.lit(1).alias("one"))
         .groupBy("line_hash")
         .agg(F.count("*").alias("n_docs"), F.max("did").alias("keeper"))
         .filter(F.col("n_docs") >= min_docs)
@@ -51,16 +59,21 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
 
 def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """All columns of ``docs`` with ``text`` cleaned, and ``n_lines``, ``n_dropped`` under the struct ``line_dedup``."""
-    bad = repeated_lines(docs, min_chars, min_docs).select("line_hash", "keeper")
+    bad = written(repeated_lines(docs, min_chars, min_docs), "lines")
+    hot = bad.orderBy(F.desc("n_docs"), "line_hash").limit(HOT_LINES).select("line_hash", F.col("keeper").alias("hot_keeper"))
+    bad = bad.select(F.col("line_hash").alias("bad_hash"), "keeper")
     thash = F.xxhash64("text")
     places = (
         docs.select(did().alias("did"), thash.alias("thash"), F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
         .filter(_long(F.col("line"), min_chars))
         .select("did", "thash", "pos", F.md5(line_key(F.col("line"))).alias("line_hash"))
     )
+    known = places.join(F.broadcast(hot), "line_hash", "left")
+    # told already: any key will do that spreads them and is no hash
+    known = known.withColumn("key", F.when(F.col("hot_keeper").isNull(), F.col("line_hash")).otherwise(F.concat(F.lit("-"), F.pmod("did", F.lit(1_000_003)))))
     gone = (
-        places.join(bad, "line_hash")
-        .filter(F.col("did") != F.col("keeper"))
+        known.join(bad, F.col("key") == F.col("bad_hash"), "left")
+        .filter(F.col("did") != F.coalesce("hot_keeper", "keeper"))
         .groupBy("did", "thash")
         .agg(F.sort_array(F.collect_set("pos")).alias("gone"))
         .withColumnsRenamed({"did": "__did", "thash": "__thash", "gone": "__gone"})
@@ -88,15 +101,15 @@ def digest(docs: DataFrame) -> DataFrame:
 
 ORACLE = """
 WITH l AS (
-  SELECT rid, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos
-  FROM (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)
+  SELECT rid, doc_id, did, unnest(lines) AS line, unnest(range(len(lines))) AS pos
+  FROM (SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id, -9223372036854775808) AS did, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)
 ), k AS (
   SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
 ), bad AS (
-  SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+  SELECT key, max(did) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT did) >= 5
 ), marked AS (
-  SELECT k.rid, k.doc_id, k.pos, k.line, bad.key IS NOT NULL AND k.doc_id <> bad.keeper AS gone FROM k LEFT JOIN bad ON k.key = bad.key
+  SELECT k.rid, k.doc_id, k.pos, k.line, bad.key IS NOT NULL AND k.did <> bad.keeper AS gone FROM k LEFT JOIN bad ON k.key = bad.key
 )
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
