@@ -4,8 +4,10 @@ Each source has a target number of words. A document's inclusion is ``target / s
 full copies, the fraction is an inclusion probability that the cube method turns into 0 or 1. The flight phase moves the
 fractions of three documents at a time along the null space of two constraints (words and documents of the source), so
 both totals stay put while at least one fraction lands at each move. Blocks of at most about ``BLOCK`` documents of a
-source fly alone; what stays fractional (two a block at most) flies again with what other blocks left, until one block
-a source is left, whose last documents land on the side nearest the word target.
+source fly alone; what stays fractional flies again with what other blocks left, until one block a source is left. A block
+keeps ``RESERVE`` of its documents, evenly spread over its sizes, out of the flight: with the two at most that a flight
+leaves they are the landing problem of the last block, whose roundings are all tried. Of those that keep the number of
+documents within one, the nearest to the word target is taken. Small and large documents together leave fine steps.
 
 Memory: a task holds one block (ids, sizes, fractions), whatever the share of the largest source. The driver holds one
 row a source, the recipe itself. Reruns agree: blocks come from hashes of ids and the random walk is seeded by block.
@@ -19,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,6 +33,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLOCK = 8192
 FAN = 2048
 EPS = 1e-9
+#: Documents of a block that wait for the landing.
+RESERVE = 14
 
 
 def n_words(text: Column) -> Column:
@@ -71,11 +76,11 @@ def _step(x: list[float], v: tuple, at: list[int], rng: random.Random) -> None:
         x[i] = 0.0 if y < EPS else 1.0 if y > 1 - EPS else y
 
 
-def flight(x: list[float], size: list[float], rng: random.Random) -> None:
-    """Cube flight in place: sums of ``x`` and of ``size * x`` hold; at most two entries stay fractional."""
+def flight(x: list[float], size: list[float], rng: random.Random, waiting: set[int] = frozenset()) -> None:
+    """Cube flight in place: sums of ``x`` and of ``size * x`` hold; at most two entries stay fractional beside those ``waiting``."""
     active: list[int] = []
     for i in range(len(x)):
-        if EPS <= x[i] <= 1 - EPS:
+        if EPS <= x[i] <= 1 - EPS and i not in waiting:
             active.append(i)
         while len(active) == 3:
             a, b, c = active
@@ -86,22 +91,32 @@ def flight(x: list[float], size: list[float], rng: random.Random) -> None:
         _step(x, (1.0, -1.0), active, rng)
 
 
+def reserve(x: list[float], most: int = RESERVE) -> set[int]:
+    """Of the fractional entries, which are in order of size, ``most`` evenly spread ones."""
+    loose = [i for i in range(len(x)) if EPS <= x[i] <= 1 - EPS]
+    return {loose[k * (len(loose) - 1) // max(most - 1, 1)] for k in range(most)} if len(loose) > most else set(loose)
+
+
 def landing(x: list[float], size: list[float]) -> None:
-    """The last fractions in place: of all their roundings, the one whose words come nearest the sum."""
+    """The last fractions in place: of their roundings that keep their number within one, that whose words come nearest the sum."""
     rest = [i for i in range(len(x)) if EPS <= x[i] <= 1 - EPS]
-    want = sum(size[i] * x[i] for i in rest)
-    best = min(range(1 << len(rest)), key=lambda m: (abs(sum(size[i] for k, i in enumerate(rest) if m >> k & 1) - want), m))
+    words, many = np.zeros(1), np.zeros(1)
+    for i in rest:  # rounding m takes document k if bit k of m is set
+        words, many = np.concatenate([words, words + size[i]]), np.concatenate([many, many + 1])
+    off = np.abs(words - sum(size[i] * x[i] for i in rest))
+    off[np.abs(many - sum(x[i] for i in rest)) > 1] += 2 * sum(size) + 1
+    best = int(off.argmin())
     for k, i in enumerate(rest):
         x[i] = float(best >> k & 1)
 
 
 def _fly(level: int, seed: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["tie", "did", "size"], kind="stable", ignore_index=True)
+        pdf = pdf.sort_values(["size", "tie", "did"], kind="stable", ignore_index=True)
         name = f"{seed}|{level}|{pdf['source'].iloc[0]}|{pdf['block'].iloc[0]}"
         rng = random.Random(int.from_bytes(hashlib.sha256(name.encode()).digest()[:8], "big"))
         x, size = pdf["x"].tolist(), pdf["size"].astype(float).tolist()
-        flight(x, size, rng)
+        flight(x, size, rng, reserve(x))
         if pdf["blocks"].iloc[0] <= 1:
             landing(x, size)
         return pdf.assign(x=x)
