@@ -4,8 +4,10 @@ For each language a suffix automaton is built over labelled text. A text is pars
 occur in that text; few pieces mean that the language's text explains it. The count, times log2 of the training length and
 divided by the characters parsed, is the cross-parsing entropy; the language with the least wins.
 
-The automata become one dense table (state, letter) -> (state, piece ended), so numpy parses thousands of segments of
-``SEGMENT`` characters against all languages at once. A segment starts a new piece; whole texts are parsed.
+The automata become one displaced table: the edges of a state lie at its base plus the letter's column, in slots that no
+other state uses, so its size follows the edges (three a training letter at most) and not states times letters, and numpy
+parses many segments of ``SEGMENT`` characters against all languages at once. Whole texts are parsed; a segment starts a new
+piece, which adds one piece to ``SEGMENT`` characters for every language.
 
 Training takes ``TRAIN_DOCS`` documents with a letter a language at most (least hashes of the id first) and ``TRAIN_CHARS``
 characters of each language's text, shared evenly by its documents: the bounds of the model, whatever the corpus. Each
@@ -34,7 +36,7 @@ from textloom.llm.common import map_rows, one_model
 TRAIN_DOCS = 64
 TRAIN_CHARS = 30_000
 LEAST_LETTERS = 1_000
-SEGMENT = 512
+SEGMENT = 4096
 REJECT_BITS = 4.6
 REJECT_RATIO = 1.25
 SPARE_PIECES = 6
@@ -90,6 +92,37 @@ def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
     return go
 
 
+def displaced(edges: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(base by state, owner by slot, target by slot): the edge of state s for column c lies at slot base[s] + c, which s then owns.
+
+    States with most edges come first, each at the first base after the last one's where all its slots are free; those with
+    one edge fill the gaps.
+    """
+    many = sorted((s for s, e in enumerate(edges) if len(e) > 1), key=lambda s: (-len(edges[s]), s))
+    single = np.array([s for s, e in enumerate(edges) if len(e) == 1], np.int64)
+    base = np.zeros(len(edges), np.int64)
+    used: set[int] = set()
+    at = width - 1
+    for s in many:
+        columns = list(edges[s])
+        at += 1
+        while not used.isdisjoint([at + c for c in columns]):
+            at += 1
+        base[s] = at
+        used.update(at + c for c in columns)
+    size = max(used, default=width) + 1 + len(single) + width
+    owner, target = np.full(size, -1, np.int32), np.zeros(size, np.int32)
+    for s in many:
+        for c, to in edges[s].items():
+            owner[base[s] + c], target[base[s] + c] = s, to
+    slots = np.flatnonzero(owner[width:] < 0)[: len(single)] + width
+    owner[slots], target[slots] = single, [next(iter(edges[s].values())) for s in single]
+    base[single] = slots - np.array([next(iter(edges[s])) for s in single], np.int64)
+    if size >= 1 << 31:
+        raise ValueError("the automata do not fit 32 bits")
+    return base.astype(np.int32), owner, target
+
+
 class Parser:
     """All languages' automata in one table. ``model``: language -> training text, of any length."""
 
@@ -101,21 +134,18 @@ class Parser:
         self.column = np.full(0x110000, len(alphabet), np.int32)
         self.column[alphabet] = np.arange(len(alphabet))
         self.bits = np.log2([max(len(texts[k]), LEAST_LETTERS) for k in self.languages])  # a piece, by language
-        parts, self.starts, base = [], [], 0
-        for k in self.languages:
-            go = suffix_automaton(self.column[texts[k]].tolist())
-            table = np.zeros((len(go), self.width), np.int64)
-            root = np.ones(self.width, np.int64) + 2 * base * self.width  # not even a first letter: a piece of its own
-            for c, s in go[0].items():
-                root[c] = 2 * (base + s) * self.width + 1
-            table[:] = root
-            for s, edges in enumerate(go):
-                for c, to in edges.items():
-                    table[s, c] = 2 * (base + to) * self.width
-            parts.append(table)
-            self.starts.append(base * self.width)
-            base += len(go)
-        self.table = np.concatenate(parts).ravel().astype(np.int32) if parts else np.zeros(1, np.int32)
+        edges: list[dict[int, int]] = []
+        self.starts = []
+        # by language and column: the state after a piece's first letter; a letter never met is a piece and leads to the start
+        self.first = np.zeros((max(len(self.languages), 1), self.width), np.int32)
+        for n, k in enumerate(self.languages):
+            go, at = suffix_automaton(self.column[texts[k]].tolist()), len(edges)
+            self.starts.append(at)
+            self.first[n] = at
+            for c, to in go[0].items():
+                self.first[n, c] = at + to
+            edges += [{c: at + to for c, to in e.items()} for e in go]
+        self.base, self.owner, self.target = displaced(edges, self.width)
 
     def pieces(self, columns: list[np.ndarray]) -> np.ndarray:
         """(texts, languages): pieces that the greedy parse needs."""
@@ -136,9 +166,11 @@ class Parser:
         cost = np.ones(state.shape, np.int32)  # the piece that the segment ends in
         for t in range(int(size[0])):
             n = int(np.searchsorted(-size, -t, "left"))  # lanes longer than t
-            found = self.table[state[:, :n] + block[t, :n]]
-            cost[:, :n] += found & 1
-            state[:, :n] = found >> 1
+            letter, now = block[t, :n], state[:, :n]
+            slot = self.base[now] + letter
+            goes = self.owner[slot] == now
+            cost[:, :n] += ~goes
+            state[:, :n] = np.where(goes, self.target[slot], self.first[:, letter])
         who = np.array([owner[k] for k in order])
         for k in range(len(self.languages)):
             out[:, k] = np.bincount(who, cost[k], len(columns))
