@@ -416,12 +416,13 @@ def removed_by_hand(rows, n=suffix_dedup.LENGTH):
         gone = np.cumsum(gone[:-1]) > 0
         kept = np.frombuffer(t, np.uint8)[~gone].tobytes()
         out.append((i, len(t), int(gone.sum()), len(suffix_dedup.spans(gone)), sha(kept)))
-    return sorted(out)
+    return out
 
 
-@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 1])
-def test_suffix_dedup(spark, monkeypatch, hot):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+@pytest.mark.parametrize("chunk", [suffix_dedup.CHUNK, 3])
+def test_suffix_dedup(spark, monkeypatch, chunk):
+    monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+    monkeypatch.setattr(suffix_dedup, "HOT", 5)
     monkeypatch.setattr(suffix_dedup, "SEGMENT", 700)
     suffix_dedup._powers.cache_clear()
     rng = random.Random(10)
@@ -429,16 +430,25 @@ def test_suffix_dedup(spark, monkeypatch, hot):
     rows = [(i, " ".join(rng.choice([pick(rng.randint(1, 60), rng), rng.choice(passages)]) for _ in range(rng.randint(1, 5)))) for i in range(25)]
     for i in range(6):  # one passage with changing ends
         rows.append((50 + i, pick(20, rng) + passages[3][: 600 + 60 * i] + pick(20, rng)))
-    rows += [(90, None), (91, ""), (92, "x" * 399), (93, "y" * 400), (94, "z" * 401), (95, rows[0][1])]
-    got = sorted(tuple(r) for r in suffix_dedup.digest(frame(spark, rows)).collect())
+    for i in range(12):  # one short passage in changing surroundings
+        rows.append((70 + i, pick(rng.randint(0, 30), rng) + passages[3][900 : 1230 + 9 * i] + pick(rng.randint(0, 30), rng)))
+    rows += [(90, None), (91, ""), (92, "x" * 399), (93, "y" * 400), (94, "z" * 401), (95, rows[0][1]), (95, rows[0][1]), (None, rows[1][1]), (96, "x" * 299), (97, "no " * 140)]
+    got = sorted((tuple(r) for r in suffix_dedup.digest(frame(spark, rows)).collect()), key=str)
     suffix_dedup._powers.cache_clear()
-    assert got == removed_by_hand(rows)
+    assert [r[:5] for r in got] == sorted(removed_by_hand(rows), key=str)
+    short = sorted(((i, n, gone) for i, n, gone, *_ in removed_by_hand(rows, suffix_dedup.SHORT)), key=str)
+    assert sorted(((r[0], r[1], r[5]) for r in got), key=str) == short
 
 
 def test_multikey_quicksort():
     rng = random.Random(11)
-    tokens = [tuple(rng.randrange(3) for _ in range(4)) for _ in range(300)]
-    assert [tokens[i] for i in suffix_dedup.multikey_quicksort(list(range(300)), tokens)] == sorted(tokens)
+    pieces = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(30))) for _ in range(300)]
+    order, common = suffix_dedup.multikey_quicksort(suffix_dedup.tokens(pieces, 30))
+    full = [p.ljust(32, b"\0") for p in pieces]
+    assert [full[i] for i in order] == sorted(full)
+    for n in range(1, 300):
+        assert common[n] == len(os.path.commonprefix([full[order[n - 1]], full[order[n]]]))
+    assert [len(x) for x in suffix_dedup.multikey_quicksort(suffix_dedup.tokens([], 8))] == [0, 0]
 
 
 # --- toxicity
