@@ -6,12 +6,14 @@ import itertools
 import os
 import random
 import re
+import struct
 import time
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from textloom.llm import byte_bpe, language_id, line_dedup, mixing, near_dedup, order_minhash, registry, repetition, secrets, suffix_dedup, toxicity
@@ -472,7 +474,12 @@ def test_toxicity_cases(spark):
     got = {r["doc_id"]: r["score"] for r in toxicity.digest(frame(spark, [*rows, (500, None), (501, ""), (502, "idi0tic scumm " + pick(20, rng)), (503, "kind friends " + pick(20, rng))]), labels).collect()}
     assert len(got) == 123 and all(0 <= s <= 1 for s in got.values()) and got[502] > got[503]
     one = toxicity.digest(frame(spark, rows[:4]), labels.filter("toxic = 0")).collect()
-    assert {r["predicted"] for r in one} == {0}
+    assert {r["score"] for r in one} == {0.0}
+    one = toxicity.digest(frame(spark, [*rows[:4], (1, "said twice"), (1, "said twice")]), labels.filter("toxic = 1")).collect()
+    assert {(r["score"], r["predicted"]) for r in one} == {(1.0, 1)} and len(one) == 6
+    assert {r["score"] for r in toxicity.digest(frame(spark, rows[:4]), labels.limit(0)).collect()} == {0.0}
+    few = toxicity.train(frame(spark, rows), labels, train_chars=300)
+    assert not np.isinf(few.bias)
 
 
 def test_a_toxic_passage_counts_wherever_it_lies():
@@ -513,7 +520,7 @@ def test_order_minhash(spark):
     for size in (7, 1000):
         got = sorted(order_minhash.digest(frame(spark, rows), rows=size).collect(), key=lambda r: r["doc_id"])
         assert [r["doc_id"] for r in got] == [i for i, _ in rows]
-        texts = [t or "" for _, t in rows]
+        texts, off = [t or "" for _, t in rows], []
         for k, (r, t) in enumerate(zip(got, texts, strict=True)):
             after, cut = texts[(k + 1) % len(texts)], len(t) // 4
             edited = t[: len(t) - cut] + after[:cut]
@@ -525,14 +532,59 @@ def test_order_minhash(spark):
                 assert r["near_edited"] == 1 and r["fingerprint"] == r["edited_fingerprint"]
             elif len(a | b) > 30:
                 share = len(a & b) / len(a | b)
-                assert abs(r["near_edited"] - share**2) < 0.5
-        assert got[-1]["fingerprint"] == got[-2]["fingerprint"]
+                # four standard errors of a share of entries
+                assert abs(r["near_edited"] - share**2) < 4 * 0.5 / order_minhash.ENTRIES**0.5
+                off.append(r["near_edited"] - share**2)
+        assert got[-1]["fingerprint"] == got[-2]["fingerprint"] and abs(np.mean(off)) < 0.1
     # a version's fingerprint does not depend on which version it is
     direct = spark.createDataFrame([(0, 1, "", "a b c a b", "a b c a b d"), (0, 2, "a b ", "c a b d", None)], "bucket int, row int, head string, text string, edited string")
     out = {r["row"]: r for r in order_minhash.fingerprints(direct).collect()}
     assert out[1]["edited_entries"] == out[2]["entries"]
 
 
+def spark_hash(*parts):
+    """The engine's xxhash64 of values given as bytes."""
+    seed = 42
+    for p in parts:
+        seed = xxhash.xxh64_intdigest(p, seed)
+    return seed - (seed >> 63 << 64)
+
+
+def long(x):
+    return struct.pack("<q", x)
+
+
+def test_entries_are_the_two_least_in_text_order(spark, monkeypatch):
+    rng = random.Random(33)
+    texts = ["a b a b a b c", "a", "a b", "", *(" ".join(rng.choice("abcd") * rng.randint(1, 3) for _ in range(rng.randint(3, 60))) for _ in range(12))]
+    splits = [(t[: (k := max(t.rfind(" ", 0, len(t) * 3 // 4) + 1, 0))], t[k:]) for t in texts]
+    docs = spark.createDataFrame([(0, i, h, t, f"b c {t} d") for i, (h, t) in enumerate(splits)], "bucket int, row int, head string, text string, edited string")
+    for chunk in (order_minhash.CHUNK, 4):
+        monkeypatch.setattr(order_minhash, "CHUNK", chunk)
+        got = {r["row"]: r for r in order_minhash.fingerprints(docs, entries=6).collect()}
+        for i, (head, text) in enumerate(splits):
+            for version, name in ((text, "entries"), (f"b c {text} d", "edited_entries")):
+                words = [spark_hash(w.encode()) for w in re.findall("[^ ]{1,%d}" % order_minhash.PIECE, head + version)]
+                # numbered k-mers in text order; of each order the two least, in text order
+                grams = [spark_hash(*map(long, pair)) for pair in zip(words, words[1:], strict=False)] if len(words) > 1 else [spark_hash(*map(long, words))] * bool(words)
+                seen, units = collections.Counter(), []
+                for g in grams:
+                    seen[g] += 1
+                    units.append(spark_hash(long(g), struct.pack("<i", seen[g])))
+                for j in range(6):
+                    values = [spark_hash(struct.pack("<i", j), long(u)) for u in units]
+                    two = sorted(sorted(range(len(values)), key=values.__getitem__)[:2])
+                    assert got[i][name][j] == spark_hash(*[long(values[k]) for k in two])
+
+
+def test_all_rows_of_one_id(spark):
+    rng = random.Random(34)
+    rows = [(None, pick(20, rng)) for _ in range(30)] + [(7, "same text")] * 5
+    got = order_minhash.digest(frame(spark, rows), rows=4).collect()
+    assert len(got) == 35 and order_minhash.cuts(frame(spark, rows), 4).count() > 4
+    assert {r["near_next"] for r in got if r["doc_id"] == 7} >= {1.0}
+
+
 def test_edits_and_moves_lower_the_likeness(spark):
     rng = random.Random(14)
     words = pick(400, rng).split()

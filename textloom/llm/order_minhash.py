@@ -1,17 +1,19 @@
 """Document fingerprints by Order MinHash, with DataFrame functions only.
 
 Tokens are runs of at most ``PIECE`` characters other than ASCII white space; a k-mer is ``K`` tokens in a row (all of
-them in a shorter text). K-mers that repeat in a text are numbered by occurrence. Hash function j splits the numbered
-k-mers in two by a bit and takes the least of each half; the two, in the order they have in the text, are hashed to
-entry j of the fingerprint. Equal entries need the same two k-mers, occurrences and order, so their share falls with
-edits and with moved blocks alike.
+them in a shorter text). K-mers that repeat in a text are numbered by occurrence. Each of ``ENTRIES`` hash functions orders
+the numbered k-mers; its two least, in the order they have in the text, are hashed to an entry of the fingerprint (the only
+one, if there is one). Equal entries need the same two k-mers, occurrences and order, so their share falls with edits and
+with moved blocks alike; its standard error is at most 0.5 / sqrt(``ENTRIES``).
 
-The next document by id comes from a window over buckets of neighbouring ids: quantiles of the ids cut them, and the first
-row after a bucket visits it as a guest, so the texts are shuffled once and no bucket holds more than its share. Tokens
-are exploded inside their bucket: numbering and minima need no further shuffle.
+The next document by id comes from a window over buckets of neighbouring rows: sampled splitters cut them, and the first
+row after a bucket visits it as a guest, so the texts are shuffled once. Of the splitters there are ``MOST`` at most (16
+bytes each), which go along with the plan. Tokens are exploded inside their bucket: numbering and minima need no further
+shuffle. Minima are taken over pieces of ``CHUNK`` places, then over a text's pieces, so no array grows with a text.
 
 Defined cases: null texts are empty; an empty text has the fingerprint of no tokens, equal to any other such and unlike all
-others; rows of one id are ordered by a hash of the text; null ids come first; a single document is its own next one.
+others; rows of one id are ordered by a hash of the text, fully repeated
+rows are each other's next; null ids come first; a single document is its own next one.
 """
 
 from __future__ import annotations
@@ -21,15 +23,17 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import did, real_id
+from textloom.llm.common import did, real_id, written
 
 K = 2
 ENTRIES = 16
 PIECE = 4
 TOKEN = r"[^\x20\x09-\x0D]{1,%d}" % PIECE
+#: Places whose units one array holds.
+CHUNK = 65_536
 #: Rows of a bucket, about, and most buckets.
 ROWS = 1000
-MOST = 1_000_000
+MOST = 100_000
 
 
 def tokens(text: Column) -> Column:
@@ -55,22 +59,32 @@ def kmers(tokens_: Column, k: int) -> Column:
     return F.when(F.size(tokens_) >= k, rolled(tokens_, k)).otherwise(short)
 
 
-def _bits(j: int) -> tuple[Column, Column]:
-    """Of hash function j: the half of a numbered k-mer, and 40 bits of hash above 23 of place."""
-    h = F.xxhash64(F.lit(j), F.col("unit"))
-    value = F.shiftleft(F.shiftrightunsigned(h, 24), 23).bitwiseOR(F.col("place"))
-    return h.bitwiseAND(F.lit(1)) == 0, value
+def _least(units: Column, places: Column, entries: int) -> Column:
+    """For each order the two least units of some, as an array of (value, place)."""
 
 
-def _entries(a: list[Column], b: list[Column]) -> Column:
-    """The fingerprint from the least values of both halves."""
-    mask, out = (1 << 23) - 1, []
-    for x, y in zip(a, b, strict=True):
-        first = x.bitwiseAND(F.lit(mask)) <= y.bitwiseAND(F.lit(mask))
-        hx, hy = F.shiftright(x, 23), F.shiftright(y, 23)
-        both = F.when(first, F.xxhash64(F.lit(0), hx, hy)).otherwise(F.xxhash64(F.lit(1), hy, hx))
-        out.append(F.when(x.isNull() | y.isNull(), F.xxhash64(F.lit(2), hx, hy)).otherwise(both))
-    return F.array(*out)
+    def two(j: int) -> Column:
+        values = F.transform(units, lambda u: F.xxhash64(F.lit(j), u))
+        return F.transform(F.array(values), lambda v: _two(v, places))[0]
+
+    return F.array(*[two(j) for j in range(entries)])
+
+
+def _two(values: Column, places: Column) -> Column:
+    """(value, place) of the least value and of the least one beside it, if there is one."""
+    at = lambda x: F.element_at(places, F.array_position(values, x).cast("int"))
+    first = F.array_min(values)
+    second = F.array_min(F.array_remove(values, first))
+    one = F.struct(first.alias("value"), at(first).alias("place"))
+    return F.when(second.isNull(), F.array(one)).otherwise(F.array(one, F.struct(second.alias("value"), at(second).alias("place"))))
+
+
+def _entry(parts: Column, j: int, own: int) -> Column:
+    """Entry j of a version: its head's and its own least units, the two least of all in text order."""
+    mine = F.filter(parts, lambda p: p["side"].isin(0, own))
+    two = F.slice(F.sort_array(F.flatten(F.transform(mine, lambda p: p["least"][j]))), 1, 2)
+    in_order = F.transform(F.sort_array(F.transform(two, lambda t: F.struct(t["place"], t["value"]))), lambda t: t["value"])
+    return F.xxhash64(in_order)
 
 
 def fingerprints(pairs: DataFrame, k: int = K, entries: int = ENTRIES) -> DataFrame:
@@ -93,29 +107,21 @@ def fingerprints(pairs: DataFrame, k: int = K, entries: int = ENTRIES) -> DataFr
     rows = rows.select("bucket", "row", F.size("s").alias("ns"), F.size("x").alias("nx"), F.posexplode_outer(F.concat("s", "x", "y")).alias("at", "kmer"))
     side = F.when(F.col("at") < F.col("ns"), 0).when(F.col("at") < F.col("ns") + F.col("nx"), 1).otherwise(2)
     pos = F.when(side == 2, F.col("at") - F.col("nx")).otherwise(F.col("at")).cast("long")
-    # 23 bits of place keep the order in texts of any length (beyond 8 million k-mers, neighbours share a place)
-    total = F.col("ns") + F.col("nx")
-    place = F.when(total < (1 << 22), F.least(pos, F.lit((1 << 23) - 1))).otherwise(F.floor(pos * F.lit(float(1 << 22)) / total))
     # sorting starts with a hash of row and k-mer: one comparison of longs settles nearly all of it
-    rows = rows.select("bucket", "row", "kmer", side.alias("side"), place.alias("place"), F.xxhash64("row", "kmer").alias("own"))
+    rows = rows.select("bucket", "row", "kmer", side.alias("side"), pos.alias("place"), F.xxhash64("row", "kmer").alias("own"))
     seen = Window.partitionBy("own", "bucket").orderBy("side", "place")
     sofar = seen.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # occurrences count within a version: for the edited one, those of the other's own part do not
     others = F.when(F.col("side") == 2, F.sum(F.when(F.col("side") == 1, 1).otherwise(0)).over(sofar)).otherwise(0)
     numbered = rows.withColumn("unit", F.xxhash64("kmer", (F.row_number().over(seen) - others).cast("int")))
-    sums = []
-    for j in range(entries):
-        low, value = _bits(j)
-        held = F.when(F.col("kmer").isNotNull(), value)
-        sums += [F.min(F.when(low, held)).alias(f"a{j}"), F.min(F.when(~low, held)).alias(f"b{j}")]
-    least = numbered.groupBy("bucket", "row", "side").agg(*sums)
-    # the two versions: the least over the head and over what is their own
-    merged = []
-    for version, sides in (("t", (0, 1)), ("e", (0, 2))):
-        merged += [F.min(F.when(F.col("side").isin(*sides), F.col(f"{h}{j}"))).alias(f"{version}{h}{j}") for j in range(entries) for h in "ab"]
-    wide = least.groupBy("bucket", "row").agg(*merged)
-    of = lambda v: _entries([F.col(f"{v}a{j}") for j in range(entries)], [F.col(f"{v}b{j}") for j in range(entries)])
-    return wide.select("bucket", "row", of("t").alias("entries"), of("e").alias("edited_entries"))
+    pieces = numbered.groupBy("bucket", "row", "side", F.floor(F.col("place") / CHUNK).alias("chunk")).agg(
+        F.collect_list(F.when(F.col("kmer").isNotNull(), F.col("unit"))).alias("units"), F.collect_list(F.when(F.col("kmer").isNotNull(), F.col("place"))).alias("places")
+    )
+    least = F.when(F.size("units") > 0, _least(F.col("units"), F.col("places"), entries))
+    parts = pieces.select("bucket", "row", F.struct("side", least.alias("least")).alias("part")).groupBy("bucket", "row").agg(F.collect_list("part").alias("parts"))
+    parts = parts.withColumn("parts", F.filter("parts", lambda p: p["least"].isNotNull()))
+    of = lambda own: F.array(*[_entry(F.col("parts"), j, own) for j in range(entries)])
+    return parts.select("bucket", "row", of(1).alias("entries"), of(2).alias("edited_entries"))
 
 
 def likeness(x: Column, y: Column) -> Column:
@@ -127,48 +133,46 @@ def as_text(entries: Column) -> Column:
     return F.array_join(F.transform(entries, lambda e: F.lpad(F.lower(F.hex(e)), 16, "0")), "")
 
 
-def cuts(docs: DataFrame, rows: int = ROWS, most: int = MOST) -> list[int]:
-    """First ids of the buckets: approximate quantiles, so the driver holds one number for about ``rows`` documents."""
-    ids = docs.select(did().alias("did"))
-    n = ids.count()
-    parts = min(most, max(1, math.ceil(n / rows)))
-    if parts == 1:
-        return []
-    probabilities = F.array(*[F.lit(i / parts) for i in range(1, parts)])
-    found = ids.agg(F.percentile_approx("did", probabilities, F.lit(min(1_000_000, 20 * parts))).alias("q")).first()["q"]
-    return sorted(set(found))
+def cuts(docs: DataFrame, rows: int = ROWS, most: int = MOST) -> DataFrame:
+    """(bucket, did, tie) of the first row of each bucket, by ranges of (did, tie) that Spark's sampled splitters cut; ``most`` rows at most."""
+    ids = docs.select(did().alias("did"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"))
+    parts = min(most, max(1, math.ceil(ids.count() / rows)))
+    ranged = ids.repartitionByRange(parts, "did", "tie").groupBy(F.spark_partition_id().alias("range")).agg(F.min(F.struct("did", "tie")).alias("first"))
+    numbered = ranged.select((F.row_number().over(Window.orderBy("first")) - 1).alias("bucket"), "first.*")
+    return written(numbered, "cuts")
 
 
-def bucket_of(value: Column, bounds: list[int]) -> Column:
-    """How many of ``bounds`` are at most ``value``: binary search in a constant array."""
-    if not bounds:
+def bucket_of(did_: Column, tie: Column, bounds: list[tuple[int, int]]) -> Column:
+    """Of sorted (did, tie) ``bounds``, the index (from 0) of the last one that is at most the row's: binary search in constant arrays."""
+    if len(bounds) < 2:
         return F.lit(0)
-    array = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<long>")
-    steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length()))
+    dids, ties = (F.split(F.lit(",".join(str(b[k]) for b in bounds)), ",").cast("array<long>") for k in (0, 1))
     start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
+    steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length()))
 
     def halve(s: Column, _: Column) -> Column:
         mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-        right = F.element_at(array, F.least(mid + 1, F.lit(len(bounds)))) <= value
+        at = F.least(mid + 1, F.lit(len(bounds)))
+        low = F.element_at(dids, at)
+        right = (low < did_) | ((low == did_) & (F.element_at(ties, at) <= tie))
         go = s["lo"] < s["hi"]
         return F.struct(F.when(go & right, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(go & ~right, mid).otherwise(s["hi"]).alias("hi"))
 
-    return F.aggregate(steps, start, halve)["lo"]
+    return F.greatest(F.aggregate(steps, start, halve)["lo"] - 1, F.lit(0))
 
 
 def with_next(docs: DataFrame, rows: int = ROWS) -> DataFrame:
     """bucket, row, did, tie, text, next_text, guest: each document beside the next one by id, the last beside the first."""
-    bounds = cuts(docs, rows)
-    given = docs.select(did().alias("did"), F.coalesce("text", F.lit("")).alias("text"))
-    given = given.withColumns({"tie": F.xxhash64("text"), "bucket": bucket_of(F.col("did"), bounds)})
-    # at most one row a bucket, as many as the bounds above
-    firsts = sorted(given.groupBy("bucket").agg(F.min("did").alias("did")).collect(), key=lambda r: r["bucket"])
-    spark = docs.sparkSession
-    visits = [(r["did"], firsts[i - 1]["bucket"]) for i, r in enumerate(firsts)]
-    visiting = spark.createDataFrame(visits, "did long, to int")
-    guests = given.join(F.broadcast(visiting), "did").select("did", "text", "tie", F.col("to").alias("bucket"), F.lit(True).alias("guest"))
-    both = given.select("did", "text", "tie", "bucket", F.lit(False).alias("guest")).unionByName(guests)
-    parts = min(100_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(firsts)))
+    firsts = cuts(docs, rows)
+    bounds = sorted((r["did"], r["tie"]) for r in firsts.select("did", "tie").collect())  # MOST rows at most
+    given = docs.select(did().alias("did"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    # a bucket's first row visits the bucket before, the first of all the last one
+    last = F.max("bucket").over(Window.partitionBy())
+    visiting = firsts.select("did", "tie", F.when(F.col("bucket") == 0, last).otherwise(F.col("bucket") - 1).alias("bucket"))
+    guests = given.join(F.broadcast(visiting), ["did", "tie"]).select("did", "text", "tie", "bucket", F.lit(True).alias("guest"))
+    own = given.select("did", "text", "tie", bucket_of(F.col("did"), F.col("tie"), bounds).alias("bucket"), F.lit(False).alias("guest"))
+    both = own.unionByName(guests)
+    parts = min(MOST, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(bounds)))
     order = Window.partitionBy("bucket").orderBy("guest", "did", "tie")
     return both.repartition(parts, "bucket").select("*", F.row_number().over(order).alias("row"), F.lead("text").over(order).alias("next_text"))
 

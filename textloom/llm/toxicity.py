@@ -10,10 +10,13 @@ one window), and the highest window counts, a run of one word counting once: whe
 Training averages over such windows too, the model taking for each toxic document the window it finds worst, at any word,
 refreshed each epoch. Window sums are differences of running sums in fixed point (``UNIT``), so they are exact.
 
-Training takes at most ``TRAIN_DOCS`` labelled rows of each label (least hashes of the id first): the model's bound.
+Training takes at most ``TRAIN_DOCS`` labelled rows of each label (least hashes of the id first, ties by id), and of these as
+many as have ``TRAIN_CHARS`` characters together, whole texts, one at least: the model's bounds. Nothing else of the corpus
+reaches the driver.
 
 Defined cases: null or empty texts score as the model scores no words; a label null or a label without a document never
-trains; documents labelled both ways count as toxic; with one label only, every score is 0.
+trains; documents labelled both ways count as toxic; with one label only, every score is that label; with none, 0; windows
+that tie count once; repeated rows get equal scores, one each.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ from textloom.llm.common import map_rows
 from textloom.llm.language_id import held_out
 
 TRAIN_DOCS = 1500
+TRAIN_CHARS = 5_000_000
 BUCKETS = 1 << 15
 DIM = 6
 GRAMS = (3, 4, 5)
@@ -75,7 +79,7 @@ class Model:
     """``value``: for each bucket its embedding times the softmax's difference of classes; ``bias`` likewise."""
 
     def __init__(self, value: np.ndarray, bias: float):
-        self.value, self.bias, self.known = value, bias, {}
+        self.value, self.bias, self.known = value, bias, {}  # an infinite bias: one label for all
         self.listed = value.tolist()
 
     def word(self, word: str) -> float:
@@ -107,9 +111,16 @@ class Model:
         return (out + self.bias).tolist()
 
     def scores(self, texts: list[str | None]) -> list[float]:
+        if np.isinf(self.bias):
+            return [float(self.bias > 0)] * len(texts)
         return (1 / (1 + np.exp(-np.clip(self.logits(texts), -30, 30)))).tolist()
 
 
+def single(toxic: bool) -> Model:
+    """The model where one label is known, or none."""
+    return Model(np.zeros(BUCKETS), np.inf if toxic else -np.inf)
+
+
 def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int = 5) -> Model:
     """Joint training of embeddings and softmax. Deterministic."""
     rng = np.random.default_rng(seed)
@@ -135,7 +146,7 @@ def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int = 5)
             all_ids += ids
     label = np.array(toxic)
     if not windows or label.min() == label.max():
-        return Model(np.zeros(BUCKETS), -30.0)
+        return single(bool(len(label)) and label.min() == 1)
     doc_of, all_ids = np.array(doc_of), np.array(all_ids)
     begin, sizes = np.array(texts_at).T
     once = np.ones(len(all_ids), bool)
@@ -201,16 +212,23 @@ def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int = 5)
     return Model(emb @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0]))
 
 
-def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS) -> Model:
     """Fit on rows whose id's crc32 is not divisible by 5. Only ids and labels are compared; chosen texts alone are read."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    known = known.join(docs.filter(F.col("text").isNotNull()).select("doc_id").distinct(), "doc_id", "left_semi")
-    first = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= train_docs).select("doc_id", "toxic").collect()
-    toxic = {r["doc_id"]: r["toxic"] for r in chosen}
+    sizes = docs.filter(F.col("text").isNotNull()).groupBy("doc_id").agg(F.sum(F.length("text")).alias("size"))
+    known = known.join(sizes, "doc_id").select("doc_id", "toxic", "size")
+    toxic: dict[int, int] = {}
+    for label in (0, 1):
+        # the first rows of each task, then of those: no task holds all rows of a label
+        first, chars = known.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs).collect(), 0
+        for n, r in enumerate(first):
+            chars += r["size"]
+            if n and chars > train_chars:
+                break
+            toxic[r["doc_id"]] = label
     if len(set(toxic.values())) < 2:
-        return Model(np.zeros(BUCKETS), -30.0)
+        return single(1 in toxic.values())
     rows = docs.filter(F.col("doc_id").isin(sorted(toxic)) & F.col("text").isNotNull()).select("doc_id", "text").collect()
     rows = sorted({(r["doc_id"], r["text"]) for r in rows})
     return fit([t for _, t in rows], [toxic[i] for i, _ in rows])
