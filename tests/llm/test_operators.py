@@ -375,16 +375,43 @@ def near_rows(rng):
     return [*rows, (at, None), (at + 1, ""), (at + 2, " \t"), (at + 3, "solo"), (at + 4, "SOLO"), (at + 5, "w " * 5000)]
 
 
-@pytest.mark.parametrize("window", [near_dedup.WINDOW, 1])
-def test_near_dedup(spark, monkeypatch, window):
+@pytest.mark.parametrize("crowd", [near_dedup.CROWD, 2])
+def test_near_dedup(spark, crowd):
     rows = near_rows(random.Random(8))
-    got = {r["doc_id"]: r for r in near_dedup.digest(frame(spark, rows)).collect()} if window > 1 else None
-    if got is None:
-        out = near_dedup.grouped(frame(spark, rows), window=window)
-        got = {r["did"]: {"n_shingles": r["n_shingles"], "component_id": r["component"], "kept": r["did"] == r["component"]} for r in out.collect()}
-    want = components_by_hand(rows)
-    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == want
-    assert all(r["kept"] == (r["component_id"] == i) for i, r in got.items())
+    # with a crowd of 2 all regions deepen, and cells hold 3 rows a side
+    out = near_dedup.grouped(frame(spark, rows), crowd=crowd, cell=3 if crowd == 2 else near_dedup.CELL)
+    got = {r["did"]: (r["n_shingles"], r["component"]) for r in out.collect()}
+    assert got == components_by_hand(rows)
+    if crowd > 2:
+        assert all(r["kept"] == (r["component_id"] == r["doc_id"]) and (r["n_shingles"], r["component_id"]) == got[r["doc_id"]] for r in near_dedup.digest(frame(spark, rows)).collect())
+
+
+def test_near_dedup_of_one_crowd(spark):
+    """All texts in all regions: one column a tree and no sketch to tell them apart, so every pair is compared."""
+    rng = random.Random(41)
+    base = pick(60, rng).split()
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for _ in range(rng.randint(0, 14)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(500)}"
+        rows.append((i, " ".join(w)))
+    for crowd in (5, 1000):
+        out = near_dedup.grouped(frame(spark, rows), depth=1, trees=3, crowd=crowd, cell=7, deviations=50.0)
+        assert {r["did"]: (r["n_shingles"], r["component"]) for r in out.collect()} == components_by_hand(rows)
+
+
+def test_rows_of_one_id_are_documents(spark):
+    rng = random.Random(42)
+    texts = [pick(60, rng) for _ in range(4)]
+    near = lambda t: t + " end"
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (None, near(texts[2])), (5, texts[2]), (6, near(texts[0])), (7, texts[3]), (7, near(texts[1])), (8, near(texts[3])), (None, ""), (None, "")]
+    got = collections.Counter((r["doc_id"], r["n_shingles"] > 0, r["component_id"]) for r in near_dedup.digest(frame(spark, rows)).collect())
+    assert got == {(None, True, None): 4, (None, False, None): 2, (5, True, None): 1, (6, True, None): 1, (7, True, 7): 1, (7, True, None): 1, (8, True, 7): 1}
+    kept = sorted((r["doc_id"], r["text"]) for r in near_dedup.representatives(frame(spark, [(i if i is not None else 0, t) for i, t in rows]), size=2).collect())
+    whole = near_dedup.representatives(frame(spark, rows), size=2).collect()
+    # one document of each group, and both empty ones
+    assert len(whole) == len(kept) == 6 and {t for _, t in kept if t} & {texts[0], near(texts[0])}
 
 
 def test_components_of_paths_and_stars(spark):

@@ -55,6 +55,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Most keys that ``hot_join`` tells by a broadcast.
+HOT = 1000
+
+
+def hot_join(big: DataFrame, small: DataFrame, on: str | list[str], hot: DataFrame) -> DataFrame:
+    """Inner join of ``big`` with ``small``, which has a bounded number of rows a key. The first ``HOT`` keys of ``hot`` go by a broadcast.
+
+    So no task gathers all rows of a frequent key. ``big`` is read twice: let it be a written table.
+    """
+    keys = [on] if isinstance(on, str) else on
+    first = F.broadcast(hot.select(*keys).limit(HOT))
+    told = big.join(F.broadcast(small.join(first, keys, "left_semi")), keys)
+    return told.unionByName(big.join(first, keys, "left_anti").join(small, keys))
+
+
 _model: list[tuple] = []
 
 

@@ -3,21 +3,25 @@
 1. Each text becomes the set of its distinct 2-word shingles (64-bit hashes); equal sets are one class from here on, so
    groups of copies cost one row.
 2. A class has a MinHash signature of ``VALUES`` values. Each of ``TREES`` trees is the order of all signatures by its own
-   drawing of columns. Classes that share the first ``DEPTH`` columns of a tree are a region, sorted by the columns after.
-3. Candidates are neighbours with the longest common prefixes: first the next one in each region; once links among these
-   are confirmed, every other class of the same region that is not yet connected and whose sketch agrees, up to ``WINDOW``
-   places on. Where a crowded region reaches further, the window widens round by round until it spans each region that
-   still holds two components, so nothing is left out: the depth reached follows from how crowded the region is.
-4. A candidate whose sketches differ too much goes: a sketch has a byte for the least hash in each of ``BINS`` ranges, and
+   drawing of ``DEPTH + EXTRA`` columns: one range-partitioned sort orders all trees, so a crowded stretch spans several
+   tasks, whose edges are compared. Classes that share the first ``DEPTH`` columns of a tree are a region.
+3. Candidates are neighbours with the longest common prefixes: first the next one in each order. Once links among these are
+   confirmed, only classes that are not yet connected are compared, at a depth that follows how crowded their region is: up
+   to ``CROWD`` classes, all of the region at once; beyond, first those that share ``DEPTH + EXTRA`` columns, then one column
+   less each round, down to the whole region. So nothing is left out, and most of a crowd is connected in small groups.
+4. In a group, the rows of its largest component meet the others and the others each other, in cells of ``CELL`` rows a side,
+   so neither memory nor time of a task follows the group; the largest component, however large, is never compared with itself.
+5. A candidate whose sketches differ too much goes: a sketch has a byte for the least hash in each of ``BINS`` ranges, and
    of the ranges that either set fills, at least the threshold's share must agree, less ``DEVIATIONS`` standard deviations
    (a pair of exactly 0.8 is lost three times in a million). The rest are confirmed on the full sets.
-5. Components of confirmed links by alternating large-star and small-star steps on DataFrames.
+6. Components of confirmed links by alternating large-star and small-star steps on DataFrames.
 
-A pair of similarity 0.8 misses all regions with probability of about one in a hundred thousand, one of 0.85 in ten
-million. Texts are shuffled at most once a round, and only those with a candidate left get their sets made again.
+A pair of similarity 0.8 shares no region with probability 6.5e-5, one of 0.85 with 1e-7 (binomial over agreeing columns).
+Texts are shuffled at most once a round, and only those with a candidate left get their sets made again.
 
 Defined cases: null, empty or blank texts have no shingles and stand alone; one word is a shingle of its own; a row is a
-document; rows of one id share the id's component; a null id is taken as the smallest id and returned as null.
+document, also where ids repeat or are null: the class of its text is linked, not its id; a null id is taken as the
+smallest id and returned as null; a component is named by the least id in it (ties: the least hash of the text).
 """
 
 from __future__ import annotations
@@ -28,16 +32,18 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import did, map_rows, real_id, written
+from textloom.llm.common import NULL_ID, did, hot_join, map_rows, real_id, written
 
 VALUES = 160
 TREES = 64
 DEPTH = 7
+EXTRA = 4
 BINS = 512
 DEVIATIONS = 4.5
-WINDOW = 4096
+CROWD = 4096
+CELL = 2048
 BROADCAST = 1_000_000
-MAX_HASHES = 400_000
+MAX_HASHES = 150_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -113,24 +119,27 @@ def agreement(rows: np.ndarray, sizes: np.ndarray, one: np.ndarray, size: np.nda
 
 def drawn_columns(values: int, trees: int, depth: int) -> list[np.ndarray]:
     rng = np.random.default_rng(77)
-    return [rng.permutation(values)[: depth + 1] for _ in range(trees)]
+    return [rng.permutation(values)[: depth + EXTRA] for _ in range(trees)]
 
 
 def keyed(sig: np.ndarray, columns: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each signature and tree the hash of the first ``depth`` columns, and 16 bits of the next one."""
+    """For each signature and tree the hash of the first ``depth`` columns, and 16 bits of each of the ``EXTRA`` next ones."""
     sig = sig.astype(np.uint64)
-    keys, rests = np.empty((len(sig), len(columns)), np.int64), np.empty((len(sig), len(columns)), np.uint16)
+    keys, rests = np.empty((len(sig), len(columns)), np.int64), np.empty((len(sig), len(columns)), np.int64)
     for t, drawn in enumerate(columns):
         h = np.full(len(sig), t + 1, np.uint64)
         for c in drawn[:depth]:
             h = _mix(h * BASE + sig[:, c])
         keys[:, t] = h.view(np.int64)
-        rests[:, t] = (sig[:, drawn[depth]] >> np.uint64(15)).astype(np.uint16)
+        rest = np.zeros(len(sig), np.uint64)
+        for c in drawn[depth:]:
+            rest = rest << np.uint64(16) | sig[:, c] >> np.uint64(15)
+        rests[:, t] = rest.view(np.int64)
     return keys, rests
 
 
 def sketched(docs: DataFrame, size: int, values: int, trees: int, depth: int) -> DataFrame:
-    """did, n_shingles, s1, s2 (the set's 128-bit identity), marks and tops (the halves of each tree's key), rests, sketch."""
+    """did, thash, n_shingles, s1, s2 (the set's 128-bit identity), marks and tops (the halves of each tree's key), rests, sketch."""
 
     def make():
         columns = drawn_columns(values, trees, depth)
@@ -146,25 +155,26 @@ def sketched(docs: DataFrame, size: int, values: int, trees: int, depth: int) ->
                     marks[i], tops[i], rests[i], sketch[i] = halves[:, 0].tobytes(), halves[:, 1].tobytes(), r.tobytes(), sketch_of(sets[i])
             one = [int(s.sum(dtype=np.uint64).astype(np.int64)) for s in sets]
             two = [int(_mix(s ^ BASE).sum(dtype=np.uint64).astype(np.int64)) for s in sets]
-            return {"did": c["did"], "n_shingles": [len(s) for s in sets], "s1": one, "s2": two, "marks": marks, "tops": tops, "rests": rests, "sketch": sketch}
+            own = {"did": c["did"], "thash": c["thash"], "n_shingles": [len(s) for s in sets], "s1": one, "s2": two}
+            return own | {"marks": marks, "tops": tops, "rests": rests, "sketch": sketch}
 
         return run
 
-    given = docs.select(did().alias("did"), "text")
-    return map_rows(given, "did long, n_shingles long, s1 long, s2 long, marks binary, tops binary, rests binary, sketch binary", make, 4 << 20)
+    given = docs.select(did().alias("did"), F.xxhash64("text").alias("thash"), "text")
+    return map_rows(given, "did long, thash long, n_shingles long, s1 long, s2 long, marks binary, tops binary, rests binary, sketch binary", make, 4 << 20)
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(did, items) of the documents whose did is in ``wanted``."""
+    """(rep, items) of the texts named in ``wanted`` (rep, did, thash)."""
 
     def make():
-        return lambda c: {"did": c["did"], "items": [shingles(t, size).astype(np.int64) for t in c["text"]]}
+        return lambda c: {"rep": c["rep"], "items": [shingles(t, size).astype(np.int64) for t in c["text"]]}
 
-    ids = written(wanted.select("did").distinct(), "wanted")
-    # up to so many ids go along with the scan (16 MB at most); beyond, the texts are shuffled to them
+    ids = written(wanted, "wanted")
+    # up to so many ids go along with the scan (24 MB at most); beyond, the texts are shuffled to them
     ids = F.broadcast(ids) if ids.count() <= BROADCAST else ids
-    given = docs.select(did().alias("did"), "text").join(ids, "did", "left_semi")
-    return map_rows(given, "did long, items array<long>", make, 4 << 20)
+    given = docs.select(did().alias("did"), F.xxhash64("text").alias("thash"), "text").join(ids, ["did", "thash"]).select("rep", "text")
+    return map_rows(given, "rep long, items array<long>", make, 4 << 20)
 
 
 def _matrix(column: pa.Array, dtype) -> np.ndarray:
@@ -179,87 +189,137 @@ def regions(classes: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                low, top, rests = _matrix(part.column(1), np.uint32), _matrix(part.column(2), np.uint32), _matrix(part.column(3), np.uint16)
+                low, top, rests = _matrix(part.column(1), np.uint32), _matrix(part.column(2), np.uint32), _matrix(part.column(3), np.int64)
                 keys = np.stack([low, top], 2).reshape(len(low), -1).view(np.int64)
                 rep = np.repeat(part.column(0).to_numpy(), keys.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.ravel(), rests.ravel().astype(np.int64), rep)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.ravel(), rests.ravel(), rep)], schema=schema)
 
     return classes.select("rep", "marks", "tops", "rests").mapInArrow(run, "region long, rest long, rep long")
 
 
-def shared(rows: DataFrame) -> DataFrame:
-    """The rows of ``regions`` whose region has others: one shuffle, streamed in order with one row held back."""
+def in_order(rows: DataFrame) -> DataFrame:
+    """The rows of ``regions`` whose region has others, each with the next one of its region.
+
+    (region, rest, rep, next, part, edge); edge 1: the first of its task, 2: the last, 3: both. Those stay in any case, as their region
+    may go on in the next task. One shuffle, streamed in order with one row held back.
+    """
 
     def run(batches):
-        held = None
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        names = ["region", "rest", "rep", "next", "part", "edge"]
+        held, joined, first = None, False, True
+
+        def given(whole, keep, follows, edge):
+            n = whole.num_rows
+            columns = [*whole.columns, pa.array(follows[0], pa.int64(), mask=follows[1]), pa.array(np.full(n, part, np.int32)), pa.array(edge.astype(np.int32))]
+            return pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep))
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             whole = pa.Table.from_batches([held, batch] if held is not None else [batch]).combine_chunks().to_batches()[0]
-            key = whole.column(0).to_numpy()
-            keep = np.zeros(len(key), bool)
+            key, rep = whole.column(0).to_numpy(), whole.column(2).to_numpy()
+            keep, edge, none = np.zeros(len(key), bool), np.zeros(len(key)), np.ones(len(key), bool)
             same = key[1:] == key[:-1]
+            none[:-1] = ~same
             keep[1:] |= same
             keep[:-1] |= same
-            if held is not None and joined:
-                keep[0] = True
+            keep[0] |= joined or first
+            edge[0] = first and len(key) > 1
+            first &= len(key) == 1
             joined = bool(keep[-1])
             keep[-1] = False
             held = whole.slice(whole.num_rows - 1)
-            yield whole.filter(pa.array(keep))
-        if held is not None and joined:
-            yield held
+            yield given(whole, keep, (np.append(rep[1:], 0), none), edge)
+        if held is not None:
+            yield given(held, np.ones(1, bool), (np.zeros(1, np.int64), np.ones(1, bool)), np.array([3 if first else 2]))
 
-    return rows.repartition("region").sortWithinPartitions("region").mapInArrow(run, "region long, rest long, rep long")
+    key = ("region", "rest", "rep")
+    schema = "region long, rest long, rep long, next long, part int, edge int"
+    return rows.repartitionByRange(*key).sortWithinPartitions(*key).mapInArrow(run, schema)
 
 
 def next_ones(rows: DataFrame) -> DataFrame:
-    """(a, b) with a < b: each class and the next one of its region."""
-    order = Window.partitionBy("region").orderBy("rest", "rep")
-    pairs = rows.select("rep", F.lead("rep").over(order).alias("next")).filter("rep <> next")
+    """(a, b) with a < b: each class and the next one of its region, in the order of a tree."""
+    # two rows a task at most
+    order = Window.orderBy("part", "edge")
+    edges = rows.filter("edge > 0").select("region", "rep", "edge", F.lead("rep").over(order).alias("next"), F.lead("region").over(order).alias("on"))
+    across = edges.filter("edge > 1 and on = region").select("rep", "next")
+    pairs = rows.select("rep", "next").union(across).filter("rep <> next")
     return pairs.select(F.least("rep", "next").alias("a"), F.greatest("rep", "next").alias("b"))
 
 
-def neighbours(rows: DataFrame, window: int, least: int, deviations: float) -> DataFrame:
-    """(a, b) with a < b: classes of different components at most ``window`` places apart in a region, whose sketches allow it.
+def cells(known: DataFrame, cell: int) -> DataFrame:
+    """``known`` (region, sub, main, n_main, n_other, rep, comp, ...) with (kind, i, j, side), a row for each cell it goes to.
 
-    A pair is given in the first tree alone that has it in one region. Rows stream through in order; a task keeps
-    ``2 * window`` of them at most.
+    Kind 0: block i of the main component beside block j of the others; kind 1: blocks i <= j of the others.
+    """
+    blocks = lambda n: F.greatest(F.ceil(F.col(n) / cell).cast("int"), F.lit(1))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    mains, others, h = blocks("n_main"), blocks("n_other"), F.xxhash64("rep")
+    own = lambda n: F.pmod(h, n).cast("int")
+    at = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
+    main_to = F.transform(upto(others), lambda j: at(0, own(mains), j, F.lit(0)))
+    beside = F.transform(upto(mains), lambda i: at(0, i, own(others), F.lit(1)))
+    among = F.transform(upto(others), lambda x: at(1, F.least(own(others), x), F.greatest(own(others), x), F.when(own(others) > x, 1).otherwise(0)))
+    to = F.when(F.col("comp") == F.col("main"), main_to).otherwise(F.concat(beside, among))
+    return known.select("*", F.explode(to).alias("to")).select("*", "to.*").drop("to")
+
+
+def compared(known: DataFrame, least: int, deviations: float, cell: int) -> DataFrame:
+    """(a, b) with a < b: classes of one group but of different components whose sketches allow it.
+
+    With ``once``, a pair is given in the first tree alone that has it in one region. A task holds one cell.
     """
+    names = ("rep", "comp", "n_shingles", "marks", "sketch")
+
+    def pairs(columns: list[np.ndarray], side: np.ndarray, among: bool, region: int, once: bool):
+        rep, comp, size, keys, sketch = columns
+        left, a, b = np.flatnonzero(side == 0), [], []
+        rows = range(len(rep)) if among and not side.any() else np.flatnonzero(side == 1).tolist()
+        for i in rows:
+            other = left[left < i] if among and not side.any() else left
+            fit = np.minimum(size[other], size[i]) * 100 >= np.maximum(size[other], size[i]) * least
+            other = other[fit & (comp[other] != comp[i])]
+            if len(other):
+                other = other[agreement(sketch[other], size[other], sketch[i], size[i], least, deviations)]
+            if len(other) and once:
+                first = (keys[other] == keys[i]).argmax(1)
+                other = other[keys[i][first] == np.uint32(region & 0xFFFFFFFF)]
+            a += np.minimum(rep[other], rep[i]).tolist()
+            b += np.maximum(rep[other], rep[i]).tolist()
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     def run(batches):
-        region, n, buffers = None, 0, None
+        held: list[pa.RecordBatch] = []
+
+        def done():
+            t = pa.Table.from_batches(held).combine_chunks()
+            of = lambda name: t.column(name).combine_chunks()
+            columns = [of(n).to_numpy() for n in names[:3]] + [_matrix(of("marks"), np.uint32), _matrix(of("sketch"), np.uint8)]
+            return pairs(columns, of("side").to_numpy(), of("kind")[0].as_py() == 1, of("region")[0].as_py(), of("once")[0].as_py())
+
+        current = None
         for batch in batches:
-            a, b = [], []
-            columns = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-            where, reps, comps, sizes = (columns[c].to_numpy() for c in ("region", "rep", "comp", "n_shingles"))
-            keys, sketches = (_matrix(columns[c], t) for c, t in (("marks", np.uint32), ("sketch", np.uint8))) if batch.num_rows else (None, None)
-            for i in range(batch.num_rows):
-                if where[i] != region:
-                    region, n = where[i], 0
-                if buffers is None:
-                    buffers = [np.empty((2 * window, *x.shape[1:]), x.dtype) for x in (reps, comps, sizes, keys, sketches)]
-                elif n == 2 * window:
-                    for x in buffers:
-                        x[:window] = x[window:]
-                    n = window
-                low = max(0, n - window)
-                fit = np.minimum(buffers[2][low:n], sizes[i]) * 100 >= np.maximum(buffers[2][low:n], sizes[i]) * least
-                other = low + np.flatnonzero(fit & (buffers[1][low:n] != comps[i]))
-                if len(other):
-                    other = other[agreement(buffers[4][other], buffers[2][other], sketches[i], sizes[i], least, deviations)]
-                if len(other):
-                    first = (buffers[3][other] == keys[i]).argmax(1)
-                    other = other[keys[i][first] == np.uint32(region & 0xFFFFFFFF)]
-                    a += np.minimum(buffers[0][other], reps[i]).tolist()
-                    b += np.maximum(buffers[0][other], reps[i]).tolist()
-                for x, value in zip(buffers, (reps, comps, sizes, keys, sketches), strict=True):
-                    x[n] = value[i]
-                n += 1
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    ordered = rows.select("region", "rest", "rep", "comp", "n_shingles", "marks", "sketch").repartition("region").sortWithinPartitions("region", "rest", "rep")
-    return ordered.mapInArrow(run, "a long, b long")
+            if not batch.num_rows:
+                continue
+            cell_of = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy().astype(np.int64) for c in ("region", "sub", "kind", "i", "j")], 1)
+            cuts = [0, *(np.flatnonzero((cell_of[1:] != cell_of[:-1]).any(1)) + 1).tolist(), len(cell_of)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                name = tuple(cell_of[lo].tolist())
+                if name != current and held:
+                    yield done()
+                    held = []
+                current = name
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield done()
+
+    spread = cells(known, cell).select("region", "sub", "kind", "i", "j", "side", "once", *names)
+    key = ["region", "sub", "kind", "i", "j"]
+    return spread.repartition(*key).sortWithinPartitions(*key, "side", "rep").mapInArrow(run, "a long, b long").distinct()
 
 
 def likely(pairs: DataFrame, classes: DataFrame, least: int, deviations: float) -> DataFrame:
@@ -280,25 +340,26 @@ def likely(pairs: DataFrame, classes: DataFrame, least: int, deviations: float)
     return fit.select("a", "b", "a_sketch", "b_sketch", "a_n_shingles", "b_n_shingles").mapInArrow(run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int, least: int, narrow: bool) -> DataFrame:
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, least: int, narrow: bool) -> DataFrame:
     """The (a, b) among ``pairs`` with 100 * intersection >= ``least`` * union on the full sets.
 
     ``narrow``: first compare 16 bits of each item, which only ever adds to an intersection, so that few full sets travel.
     """
-    wanted = pairs.select(F.col("a").alias("did")).union(pairs.select(F.col("b").alias("did")))
-    # rows that repeat an id: any of them will do
-    sets = written(sets_of(docs, wanted, size), "sets").groupBy("did").agg(F.max("items").alias("items"))
+    ends = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep")))
+    wanted = classes.select("rep", "did", "thash").join(ends, "rep", "left_semi")
+    # rows that repeat fully have equal sets
+    sets = written(sets_of(docs, wanted, size), "sets").groupBy("rep").agg(F.max("items").alias("items"))
 
     def joined(pairs: DataFrame, given: DataFrame) -> DataFrame:
         left, right = (given.select(*[F.col(c).alias(f"{side}_{c}") for c in given.columns]) for side in "ab")
-        return pairs.join(left, F.col("a") == F.col("a_did")).join(right, F.col("b") == F.col("b_did"))
+        return pairs.join(left, F.col("a") == F.col("a_rep")).join(right, F.col("b") == F.col("b_rep"))
 
     def alike(shared: F.Column, n: F.Column) -> F.Column:
         return 100 * shared >= least * (n - shared)
 
     if narrow:
         bits = F.array_distinct(F.transform("items", lambda x: (x.bitwiseAND(F.lit(0xFFFF)) - 0x8000).cast("short")))
-        cut = sets.select("did", F.size("items").alias("n"), bits.alias("bits"))
+        cut = sets.select("rep", F.size("items").alias("n"), bits.alias("bits"))
         merged = F.least(F.col("a_n") - F.size("a_bits"), F.col("b_n") - F.size("b_bits"))
         most = F.size(F.array_intersect("a_bits", "b_bits")) + merged
         pairs = written(joined(pairs, cut).filter(alike(most, F.col("a_n") + F.col("b_n"))).select("a", "b"), "narrowed")
@@ -311,12 +372,12 @@ def components(links: DataFrame) -> DataFrame:
     edges = written(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-        large = both.join(least, F.col("u") == F.col("w")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = written(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n")), "least")
+        large = hot_join(both, least.drop("n"), "u", least.orderBy(F.desc("n"), "u")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = written(large.filter("u <> v").distinct(), "large")
-        low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w")
-        small = large.join(low, F.col("u") == F.col("w"))
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select(F.col("w").alias("u"), F.col("m").alias("v")))
+        low = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "low")
+        small = hot_join(large, low.drop("n"), "u", low.orderBy(F.desc("n"), "u"))
+        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         small = written(small.filter("u <> v").distinct(), "small")
         # stars: each end has one edge and no centre is an end
         ends = small.groupBy("u").agg(F.count("*").alias("n"))
@@ -327,6 +388,44 @@ def components(links: DataFrame) -> DataFrame:
     return small.select(F.col("u").alias("rep"), F.col("v").alias("comp"))
 
 
+def classes_of(base: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(names: s1, s2, n, did, thash, rep; classes: rep, did, thash, n_shingles, marks, tops, rests, sketch).
+
+    A class is named by its least row; ``rep`` is that row's id, or a hash of the class where the id is null or names several classes.
+    """
+    full = base.filter("n_shingles > 0")
+    first = full.groupBy("s1", "s2").agg(F.count("*").alias("n"), F.min(F.struct("did", "thash")).alias("lead")).select("s1", "s2", "n", "lead.*")
+    first = written(first, "first")
+    again = first.filter(F.col("did") != NULL_ID).groupBy("did").agg(F.count("*").alias("names")).filter("names > 1")
+    named = first.filter(F.col("did") != NULL_ID).join(again, "did", "left").unionByName(first.filter(F.col("did") == NULL_ID).withColumn("names", F.lit(2).cast("long")))
+    rep = F.when(F.col("names").isNull(), F.col("did")).otherwise(F.xxhash64("s1", "s2", "did"))
+    names = written(named.select("s1", "s2", "n", "did", "thash", rep.alias("rep")), "names")
+    rows = full.select("did", "thash", "n_shingles", "marks", "tops", "rests", "sketch").join(names.select("did", "thash", "rep"), ["did", "thash"])
+    same = F.max(F.struct("did", "thash", "n_shingles", "marks", "tops", "rests", "sketch")).alias("x")  # rows that repeat fully
+    return names, written(rows.groupBy("rep").agg(same).select("rep", "x.*"), "classes")
+
+
+def open_groups(rows: DataFrame, comps: DataFrame, extra: int, crowd: int, first: bool) -> DataFrame:
+    """The rows (region, sub, rep, comp, main, n_main, n_other, once) of groups that hold two components or more.
+
+    Groups are regions of at most ``crowd`` rows (the ``first`` time only), and of larger ones the rows that share ``extra`` columns more.
+    """
+    comp = F.coalesce("comp", "rep").alias("comp")
+    marked = written(rows.select("region", "rest", "rep").join(comps, "rep", "left").select("region", "rest", "rep", comp), "marked")
+    sizes = marked.groupBy("region").agg(F.count("*").alias("n"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
+    sizes = written(sizes.filter("c1 <> c2").select("region", "n").filter(F.lit(True) if first else F.col("n") > crowd), "sizes")
+    sub = F.shiftrightunsigned("rest", 16 * (EXTRA - extra)) if extra else F.lit(0).cast("long")
+    crowded = F.col("n") > crowd
+    inside = hot_join(marked, sizes, "region", sizes.orderBy(F.desc("n"), "region"))
+    inside = inside.select("region", F.when(crowded, sub).otherwise(0).alias("sub"), "rep", "comp", (~crowded if extra else F.lit(True)).alias("once"))
+    inside = written(inside, "inside")
+    parts = inside.groupBy("region", "sub", "comp").agg(F.count("*").alias("n"))
+    groups = parts.groupBy("region", "sub").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top"))
+    groups = groups.select("region", "sub", "n", F.col("top.comp").alias("main"), F.col("top.n").alias("n_main"), (F.col("n") - F.col("top.n")).alias("n_other"))
+    groups = written(groups.filter("n_other > 0"), "groups")
+    return hot_join(inside, groups.drop("n"), ["region", "sub"], groups.orderBy(F.desc("n"), "region", "sub"))
+
+
 def grouped(
     docs: DataFrame,
     size: int = 2,
@@ -334,41 +433,37 @@ def grouped(
     values: int = VALUES,
     trees: int = TREES,
     depth: int = DEPTH,
-    window: int = WINDOW,
+    crowd: int = CROWD,
+    cell: int = CELL,
     deviations: float = DEVIATIONS,
 ) -> DataFrame:
-    """did, n_shingles, component (did of the least document reachable), one row for each row of ``docs``."""
+    """did, thash, n_shingles, component (did of the least document reachable), lead (its thash), a row for each row of ``docs``."""
     base = written(sketched(docs, size, values, trees, depth), "sketches")
-    full = base.filter("n_shingles > 0")
-    first = written(full.groupBy("s1", "s2").agg(F.min("did").alias("rep")), "first")
-    reps = full.join(first.select(F.col("rep").alias("did")).distinct(), "did", "left_semi")
-    classes = reps.groupBy("did").agg(F.max(F.struct("n_shingles", "marks", "tops", "rests", "sketch")).alias("x")).select(F.col("did").alias("rep"), "x.*")
-    classes = written(classes, "classes")
-    rows = written(shared(regions(classes)), "regions")
-    crowd = rows.groupBy("region").agg(F.count("*").alias("n"))
-    pairs = written(next_ones(rows).distinct(), "near1")
-    links = written(confirmed(written(likely(pairs, classes, least, deviations), "likely"), docs, size, least, False), "links1")
-    tested, reach, round_ = pairs, 1, 1
-    while True:
-        comps = components(links)
-        marked = rows.join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        mixed = marked.groupBy("region").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 <> c2").select("region")
-        # regions that the last window did not span and that still hold two components
-        wide = crowd.filter(F.col("n") > reach + 1)
-        open_ = written(marked.join(wide, "region").join(mixed, "region", "left_semi"), "open")
-        most = open_.agg(F.max("n")).first()[0]
-        if most is None:
-            break
-        reach, round_ = window if round_ == 1 else 8 * reach, round_ + 1
+    names, classes = classes_of(base)
+    rows = written(in_order(regions(classes)), "regions")
+    pairs = written(next_ones(rows).distinct(), "near")
+    links = written(confirmed(written(likely(pairs, classes, least, deviations), "likely"), classes, docs, size, least, False), "links")
+    tested, comps = pairs, components(links)
+    crowds = rows.groupBy("region").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).limit(1).count()
+    for extra in range(EXTRA if crowds else 0, -1, -1):
+        open_ = written(open_groups(rows, comps, extra, crowd, extra == EXTRA or not crowds), "open")
+        if not open_.limit(1).count():
+            continue
         known = open_.join(classes.select("rep", "n_shingles", "marks", "sketch"), "rep")
-        pairs = written(neighbours(known, reach, least, deviations).join(tested, ["a", "b"], "left_anti"), f"near{round_}")
-        more = written(confirmed(pairs, docs, size, least, True), f"links{round_}")
+        pairs = written(compared(known, least, deviations, cell).join(tested, ["a", "b"], "left_anti"), "near")
+        more = written(confirmed(pairs, classes, docs, size, least, True), "links")
         tested, links = tested.union(pairs), links.union(more)
-    named = first.join(comps, "rep", "left").select("s1", "s2", F.coalesce("comp", "rep").alias("component"))
-    own = base.select("did", "n_shingles", "s1", "s2")
-    return own.filter("n_shingles > 0").join(named, ["s1", "s2"]).select("did", "n_shingles", "component").union(
-        own.filter("n_shingles = 0").select("did", "n_shingles", F.col("did").alias("component"))
-    )
+        comps = components(links)
+    comps = comps.union(comps.select(F.col("comp").alias("rep"), "comp").distinct())  # the least end of a component too
+    linked = written(names.join(comps, "rep"), "linked")
+    leads = written(linked.groupBy("comp").agg(F.count("*").alias("many"), F.min(F.struct("did", "thash")).alias("lead")), "leads")
+    joined = hot_join(linked.select("s1", "s2", "n", "comp"), leads.select("comp", "lead"), "comp", leads.orderBy(F.desc("many"), "comp"))
+    alone = names.join(comps, "rep", "left_anti").select("s1", "s2", "n", F.struct("did", "thash").alias("lead"))
+    named = written(joined.select("s1", "s2", "n", "lead").unionByName(alone), "named")
+    own = base.select("did", "thash", "n_shingles", "s1", "s2")
+    found = hot_join(own.filter("n_shingles > 0"), named.drop("n"), ["s1", "s2"], named.orderBy(F.desc("n"), "s1", "s2"))
+    found = found.select("did", "thash", "n_shingles", F.col("lead.did").alias("component"), F.col("lead.thash").alias("lead"))
+    return found.union(own.filter("n_shingles = 0").select("did", "thash", "n_shingles", F.col("did").alias("component"), F.col("thash").alias("lead")))
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -378,8 +473,13 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, all columns, of one document (the least id) of each group."""
-    gone = grouped(docs, **options).filter("did <> component").select(F.col("did").alias("__gone")).distinct()
-    return docs.join(gone, did() == F.col("__gone"), "left_anti")
-
-
+    """One row of ``docs``, all columns, of each group: the one with the least id (ties: least hash of the text; of rows that repeat fully, any)."""
+    out = written(grouped(docs, **options).withColumnsRenamed({"did": "__did", "thash": "__thash"}), "grouped")
+    least = (F.col("__did") == F.col("component")) & (F.col("__thash") == F.col("lead"))
+    here = docs.withColumns({"__d": did(), "__t": F.xxhash64("text")})
+    at = (F.col("__d") == F.col("__did")) & (F.col("__t") == F.col("__thash"))
+    kept = here.join(out.filter(~least).select("__did", "__thash").distinct(), at, "left_anti")
+    again = written(out.filter(least & (F.col("n_shingles") > 0)).groupBy("__did", "__thash").count().filter("count > 1").drop("count"), "again")
+    if again.limit(1).count():
+        kept = kept.join(again, at, "left_anti").union(kept.join(again, at, "left_semi").dropDuplicates(["__d", "__t"]))
+    return kept.select(*docs.columns)
