@@ -136,7 +136,7 @@ MODES = {
 }
 
 
-@python
+@python(when=lambda params: params.get("mode") == "slug")
 def change_case(t: Column, mode: str = "sentence", preserveAcronyms: bool = True) -> Column:
     """Unknown modes are sentence case."""
     if mode not in MODES or mode in ("sentence", "title", "capital"):

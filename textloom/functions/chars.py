@@ -28,25 +28,26 @@ SMART_DASH_POINTS = "2010-2015 2212"
 MOJIBAKE_LEAD_POINTS = "C2 C3 E2 C5 D0"
 MOJIBAKE_NEXT_POINTS = "80-BF 2013 2014 2018 2019 201A 201C 201D 201E 20AC 2122 2026"
 
-#: Windows-1252 for the bytes 80 to 9F; five are undefined.
-CP1252_HIGH = (
-    "20AC 81 201A 192 201E 2026 2020 2021 2C6 2030 160 2039 152 8D 17D 8F "
-    "90 2018 2019 201C 201D 2022 2013 2014 2DC 2122 161 203A 153 9D 17E 178"
-)
-
-LIGATURES = "FB00=ff FB01=fi FB02=fl FB03=ffi FB04=ffl FB05=ft FB06=st 132=IJ 133=ij A728=TZ A729=tz"
+LIGATURES = {
+    "\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi", "\ufb04": "ffl", "\ufb05": "ft", "\ufb06": "st",
+    "\u0132": "IJ", "\u0133": "ij", "\ua728": "TZ", "\ua729": "tz",
+}
 SINGLE_QUOTES = "2018 2019 201A 201B 2032 2035 2BC 2B9 FF07 2039 203A"
 DOUBLE_QUOTES = "201C 201D 201E 201F 2033 2036 2BA FF02 AB BB"
 DASHES = "2010 2011 2012 2013 2014 2015 2212 2043 FE58 FE63 FF0D"
-SYMBOLS = (
-    "2026=... 2024=. 2025=.. 2022=- 2023=- 25AA=- 25AB=- 25CF=- 25CB=- 25E6=- 204C=- 204D=- 2219=- B7=- "
-    "BC=1/4 BD=1/2 BE=3/4 2044=/ 2122=(TM) AE=(R) A9=(C) 2117=(P) D7=x 2260=!= 2264=<= 2265=>= B0=_degrees "
-    "2192=-> 2190=<- 2194=<-> 21D2==> 2020=* 2021=** 2030=%"
-)
-TRANSLITERATIONS = (
-    "E6=ae C6=AE 153=oe 152=OE DF=ss 1E9E=SS F8=o D8=O 111=d 110=D F0=d D0=D FE=th DE=TH 142=l 141=L "
-    "127=h 126=H 131=i 14B=ng 14A=NG 20AC=EUR A3=GBP A5=JPY A2=c 2116=No. B5=u"
-)
+SYMBOLS = {
+    "\u2026": "...", "\u2024": ".", "\u2025": "..", "\u2022": "-", "\u2023": "-", "\u25aa": "-", "\u25ab": "-", "\u25cf": "-",
+    "\u25cb": "-", "\u25e6": "-", "\u204c": "-", "\u204d": "-", "\u2219": "-", "\xb7": "-", "\xbc": "1/4", "\xbd": "1/2",
+    "\xbe": "3/4", "\u2044": "/", "\u2122": "(TM)", "\xae": "(R)", "\xa9": "(C)", "\u2117": "(P)", "\xd7": "x", "\u2260": "!=",
+    "\u2264": "<=", "\u2265": ">=", "\xb0": " degrees", "\u2192": "->", "\u2190": "<-", "\u2194": "<->", "\u21d2": "=>",
+    "\u2020": "*", "\u2021": "**", "\u2030": "%",
+}
+TRANSLITERATIONS = {
+    "\xe6": "ae", "\xc6": "AE", "\u0153": "oe", "\u0152": "OE", "\xdf": "ss", "\u1e9e": "SS", "\xf8": "o", "\xd8": "O",
+    "\u0111": "d", "\u0110": "D", "\xf0": "d", "\xd0": "D", "\xfe": "th", "\xde": "TH", "\u0142": "l", "\u0141": "L",
+    "\u0127": "h", "\u0126": "H", "\u0131": "i", "\u014b": "ng", "\u014a": "NG", "\u20ac": "EUR", "\xa3": "GBP", "\xa5": "JPY",
+    "\xa2": "c", "\u2116": "No.", "\xb5": "u",
+}
 #: Characters whose doubly encoded forms are repaired one by one.
 MOJIBAKE_TARGETS = (
     "2018 2019 201A 201C 201D 201E 2013 2014 2026 2022 2039 203A A0 A9 AE 2122 B0 B7 BD BC BE 20AC A3 A5 "
@@ -85,15 +86,21 @@ CHARACTER_NAMES = {
 }
 #: Code points without a visible shape of their own.
 UNPRINTABLE_POINTS = "0-1F 7F-A0 200B-200F 2028-202E 2060-206F FEFF FFFC E000-F8FF E0000-E007F FE00-FE0F"
-NAMED_ENTITIES = (
-    "amp=26 lt=3C gt=3E quot=22 apos=27 nbsp=A0 copy=A9 reg=AE trade=2122 hellip=2026 mdash=2014 ndash=2013 lsquo=2018 "
-    "rsquo=2019 ldquo=201C rdquo=201D sbquo=201A bdquo=201E laquo=AB raquo=BB bull=2022 middot=B7 deg=B0 plusmn=B1 frac12=BD "
-    "frac14=BC frac34=BE times=D7 divide=F7 minus=2212 euro=20AC pound=A3 yen=A5 cent=A2 sect=A7 para=B6 dagger=2020 "
-    "Dagger=2021 permil=2030 prime=2032 Prime=2033 lsaquo=2039 rsaquo=203A oline=203E frasl=2044 larr=2190 uarr=2191 "
-    "rarr=2192 darr=2193 harr=2194 rArr=21D2 hArr=21D4 ensp=2002 emsp=2003 thinsp=2009 zwnj=200C zwj=200D shy=AD eacute=E9 "
-    "egrave=E8 agrave=E0 ccedil=E7 uuml=FC ouml=F6 auml=E4 szlig=DF ntilde=F1 aacute=E1 iacute=ED oacute=F3 uacute=FA "
-    "oslash=F8 aring=E5 aelig=E6 ecirc=EA ocirc=F4 acirc=E2 icirc=EE Eacute=C9 Ouml=D6 Uuml=DC Auml=C4"
-)
+NAMED_ENTITIES = {
+    "amp": "&", "lt": "<", "gt": ">", "quot": "\x22", "apos": "'", "nbsp": "\xa0", "copy": "\xa9", "reg": "\xae",
+    "trade": "\u2122", "hellip": "\u2026", "mdash": "\u2014", "ndash": "\u2013", "lsquo": "\u2018", "rsquo": "\u2019",
+    "ldquo": "\u201c", "rdquo": "\u201d", "sbquo": "\u201a", "bdquo": "\u201e", "laquo": "\xab", "raquo": "\xbb",
+    "bull": "\u2022", "middot": "\xb7", "deg": "\xb0", "plusmn": "\xb1", "frac12": "\xbd", "frac14": "\xbc", "frac34": "\xbe",
+    "times": "\xd7", "divide": "\xf7", "minus": "\u2212", "euro": "\u20ac", "pound": "\xa3", "yen": "\xa5", "cent": "\xa2",
+    "sect": "\xa7", "para": "\xb6", "dagger": "\u2020", "Dagger": "\u2021", "permil": "\u2030", "prime": "\u2032",
+    "Prime": "\u2033", "lsaquo": "\u2039", "rsaquo": "\u203a", "oline": "\u203e", "frasl": "\u2044", "larr": "\u2190",
+    "uarr": "\u2191", "rarr": "\u2192", "darr": "\u2193", "harr": "\u2194", "rArr": "\u21d2", "hArr": "\u21d4",
+    "ensp": "\u2002", "emsp": "\u2003", "thinsp": "\u2009", "zwnj": "\u200c", "zwj": "\u200d", "shy": "\xad", "eacute": "\xe9",
+    "egrave": "\xe8", "agrave": "\xe0", "ccedil": "\xe7", "uuml": "\xfc", "ouml": "\xf6", "auml": "\xe4", "szlig": "\xdf",
+    "ntilde": "\xf1", "aacute": "\xe1", "iacute": "\xed", "oacute": "\xf3", "uacute": "\xfa", "oslash": "\xf8", "aring": "\xe5",
+    "aelig": "\xe6", "ecirc": "\xea", "ocirc": "\xf4", "acirc": "\xe2", "icirc": "\xee", "Eacute": "\xc9", "Ouml": "\xd6",
+    "Uuml": "\xdc", "Auml": "\xc4",
+}
 # ---------------------------------------------------------------------------------------------------------------------
 
 
@@ -115,29 +122,20 @@ def characters(points: str) -> str:
     return "".join(chr(c) for a, b in ranges(points) for c in range(a, b + 1))
 
 
-def spellings(table: str) -> dict[str, str]:
-    """``"FB01=fi"`` as {U+FB01: "fi"}; an underscore stands for a space."""
-    pairs = (entry.split("=", 1) for entry in table.split())
-    return {chr(int(a, 16)): b.replace("_", " ") for a, b in pairs}
-
-
-def entities() -> dict[str, str]:
-    return {name: chr(int(cp, 16)) for name, cp in (entry.split("=") for entry in NAMED_ENTITIES.split())}
+def misread(b: int) -> str:
+    """What a reader of Windows-1252 shows for a byte; the five bytes that it leaves undefined stand for themselves."""
+    return bytes([b]).decode("cp1252", "ignore") or chr(b)
 
 
 def cp1252() -> dict[str, str]:
     """Control characters 80 to 9F with what Windows-1252 has in their place; undefined ones map to themselves."""
-    return {chr(0x80 + i): chr(int(cp, 16)) for i, cp in enumerate(CP1252_HIGH.split())}
+    return {chr(b): misread(b) for b in range(0x80, 0xA0)}
 
 
 def mojibake_pairs() -> list[tuple[str, str]]:
-    """(broken, meant), longest first: UTF-8 bytes read as Windows-1252."""
-    high = cp1252()
-    pairs = []
-    for target in characters(MOJIBAKE_TARGETS):
-        broken = "".join(high.get(chr(b), chr(b)) for b in target.encode())
-        pairs.append((broken, target))
-    return sorted(pairs, key=lambda p: -len(p[0]))
+    """(broken, meant) for each target: its UTF-8 bytes as a reader of Windows-1252 shows them. Three bytes come before two, which they may begin with."""
+    known = {"".join(map(misread, c.encode())): c for c in characters(MOJIBAKE_TARGETS)}
+    return sorted(known.items(), key=lambda pair: (-len(pair[0]), pair))
 
 
 #: White space, and white space other than line feeds, as class bodies and classes.

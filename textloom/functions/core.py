@@ -20,14 +20,20 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
-#: Functions that run Python over Arrow batches.
-PYTHON: set[str] = set()
+def python(f=None, *, when: Callable[[dict], bool] = lambda params: True):
+    """Mark a column function that runs Python over Arrow batches, or does so for some parameters; pipelines plan those apart."""
 
+    def mark(f):
+        f.runs_python = when
+        return f
 
-def python(f):
-    """Mark a column function that runs Python; pipelines plan those apart."""
-    PYTHON.add(f.__name__)
-    return f
+    return mark(f) if f else mark
+
+
+def runs_python(f, params: dict) -> bool:
+    """By its mark; a bare pandas UDF needs none."""
+    marked = getattr(f, "runs_python", None)
+    return marked(params) if marked else hasattr(f, "evalType")
 
 
 def fenced(df: DataFrame, column: str) -> DataFrame:
@@ -41,7 +47,7 @@ def fenced(df: DataFrame, column: str) -> DataFrame:
 
 def applied(df: DataFrame, column: str, f: Callable[..., Column], **params) -> DataFrame:
     """``df`` with ``f`` of ``column``, as a projection of its own."""
-    if getattr(f, "__name__", "") not in PYTHON:
+    if not runs_python(f, params):
         return df.withColumn(column, f(F.col(column), **params))
     new = f(F.col(column), **params)
     return fenced(fenced(df, column).withColumn(column, new), column)
@@ -136,8 +142,8 @@ def java_pattern(pattern: str) -> str:
     return "".join(out)
 
 
-def java_replacement(replacement: str, groups: int) -> str:
-    """Browser replacement syntax for Java: ``$&``, ``$$`` and ``$n``; anything else is literal."""
+def java_replacement(replacement: str, groups: int, names: Iterable[str] = ()) -> str:
+    """Browser replacement syntax for Java: ``$&``, ``$$``, ``$n``, ``$<name>`` and ``$'`` (see ``with_rest``); anything else is literal."""
     out, i = [], 0
     while i < len(replacement):
         c, n = replacement[i], replacement[i + 1 : i + 2]
@@ -147,6 +153,12 @@ def java_replacement(replacement: str, groups: int) -> str:
         elif c == "$" and n == "&":
             out.append("$0")
             i += 2
+        elif c == "$" and n == "'":
+            out.append("${textloomrest}")
+            i += 2
+        elif c == "$" and n == "<" and (m := re.match(r"<([A-Za-z][A-Za-z0-9]*)>", replacement[i + 1 :])) and m[1] in names:
+            out.append("${" + m[1] + "}")
+            i += 1 + m.end()
         elif c == "$" and n.isdigit() and 1 <= int(n) <= groups:
             out.append(f"$\\{n}"[:1] + n)
             i += 2
@@ -156,6 +168,15 @@ def java_replacement(replacement: str, groups: int) -> str:
     return "".join(out)
 
 
+def with_rest(pattern: str) -> str:
+    """``pattern`` with what follows the match in the group that ``java_replacement`` names for ``$'``."""
+    return f"(?:{pattern})(?=(?<textloomrest>(?s:.*)))"
+
+
+def group_names(pattern: str) -> list[str]:
+    return re.findall(r"(?<!\\)\(\?<([A-Za-z][A-Za-z0-9]*)>", pattern)
+
+
 def valid_pattern(pattern: str) -> bool:
     """Whether Java's engine takes the pattern (asked of the running JVM; with none, of Python)."""
     from pyspark import SparkContext

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from statistics import median
 
 import pandas as pd
@@ -57,29 +58,26 @@ def remove_page_numbers(t: Column) -> Column:
     return keep_lines(t, lambda x: ~x.rlike("|".join(f"(?:{p})" for p in PAGE_NUMBERS)))
 
 
-def _eligible(ls: Column, most: int) -> Column:
-    """Trimmed lines with something in them and at most so many characters, sorted."""
-    return F.array_sort(F.filter(F.transform(ls, trim), lambda k: (k != "") & (F.length(k) <= most)))
-
-
-def repeated(sorted_lines: Column, times: int) -> Column:
-    """Values found at least so many times in a sorted array: the place that many less one further on holds the same."""
-    n = F.size(sorted_lines) - (times - 1)
-
-    def found(s: Column) -> Column:
-        ahead = F.zip_with(F.slice(s, 1, F.greatest(n, F.lit(0))), F.slice(s, times, F.greatest(n, F.lit(0))), lambda a, b: F.when(a == b, a))
-        return F.array_distinct(F.filter(ahead, lambda x: x.isNotNull()))
-
-    return F.when(n > 0, found(sorted_lines)).otherwise(F.array().cast("array<string>"))
+def in_run(keys: Callable[[Column], Column], j: Column, times: int) -> Column:
+    """Whether place j of sorted ``keys`` lies in a run of at least ``times`` equal ones: some stretch of that many around it has equal ends."""
+    out = F.lit(False)
+    for before in range(times):
+        first, last = keys(j - before), keys(j + (times - 1 - before))
+        out = out | F.coalesce((first == last) & (j >= before), F.lit(False))
+    return out
 
 
 def remove_repeated_lines(t: Column, minOccurrences: int = 3, maxLength: int = 80) -> Column:
-    def without(ls: Column) -> Column:
-        return let(repeated(_eligible(ls, maxLength), minOccurrences), lambda hot: F.filter(ls, lambda x: ~F.array_contains(hot, trim(x))))
-
+    """Lines that may count have a key; the others, with a null key, always stay."""
     if minOccurrences <= 0:
         return F.lit("")
-    return unlines(let(lines(t), without))
+
+    def key(x: Column) -> Column:
+        bare = trim(x)
+        return F.when((bare != "") & (F.length(bare) <= maxLength), bare)
+
+    kept = lambda pairs: F.filter(pairs, lambda p, j: ~in_run(lambda i: F.get(pairs, i)["k"], j, minOccurrences))
+    return unlines(let(lines(t), lambda ls: _at(ls, let(_by_key(ls, key), kept))))
 
 
 def dehyphenate(t: Column) -> Column:
@@ -87,6 +85,7 @@ def dehyphenate(t: Column) -> Column:
 
 
 _SPACES = C.characters(C.SPACE_POINTS)
+_GAP = re.compile(f"[{re.escape(_SPACES)}]+")
 _ITEM = re.compile(rf"[ \t]*(?:[{re.escape(C.characters(C.MARKER_POINTS))}]|\(?[0-9]{{1,3}}[.)\]]|\(?[a-zA-Z][.)\]]|[ivxlcIVXLC]{{1,5}}[.)])[ \t]+")
 _ENDING = frozenset(".!?:;)]" + C.characters(C.CLOSE_QUOTE_POINTS))
 _OPENING = frozenset("0123456789" + C.characters(C.OPEN_QUOTE_POINTS))
@@ -274,44 +273,37 @@ def sort_lines(t: Column, order: str = "asc", ignoreCase: bool = True) -> Column
     return unlines(F.transform(F.array_sort(rows(lines(t))), lambda r: r["x"]))
 
 
+def _filled(line: str, limit: int, break_long: bool) -> str:
+    """One line cut greedily between words; with ``break_long``, full pieces of a long word stand alone."""
+    if len(line) <= limit:
+        return line
+    indent = line[: len(line) - len(line.lstrip(" \t"))]
+    room, out, now = max(1, limit - len(indent)), [], ""
+    for word in filter(None, _GAP.split(line)):
+        while break_long and len(word) > room:
+            if now:
+                out.append(indent + now)
+                now = ""
+            out.append(indent + word[:room])
+            word = word[room:]
+        if now and len(indent) + len(now) + 1 + len(word) > limit:
+            out.append(indent + now)
+            now = word
+        else:
+            now = f"{now} {word}" if now else word
+    return "\n".join(out + [indent + now] * bool(now))
+
+
+@python
 def wrap_lines(t: Column, width: int = 80, breakLongWords: bool = False) -> Column:
-    """Greedy filling up to the width (10 at least); the indent is repeated on each new line."""
+    """Greedy filling up to the width (10 at least); the indent is repeated on each new line. In Arrow batches, linear in the text."""
     limit = max(10, width)
 
-    def wrapped(line: Column) -> Column:
-        indent = F.regexp_extract(line, "^[ \\t]*", 0)
-
-        def filled(indent: Column) -> Column:
-            room = F.greatest(F.lit(1), F.lit(limit) - F.length(indent))
-            words = F.filter(F.split(trim(line), f"{C.WS}+", -1), lambda w: w != "")
-            if breakLongWords:
-                # a long word becomes full pieces that stand alone, and its rest
-                def pieces(w: Column) -> Column:
-                    full = F.floor((F.length(w) - 1) / room).cast("int")
-                    heads = F.transform(F.when(full > 0, F.sequence(F.lit(0), full - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(F.substr(w, i * room + 1, room).alias("w"), F.lit(True).alias("alone")))
-                    return F.concat(heads, F.array(F.struct(F.substr(w, full * room + 1).alias("w"), F.lit(False).alias("alone"))))
-
-                items = F.flatten(F.transform(words, pieces))
-            else:
-                items = F.transform(words, lambda w: F.struct(w.alias("w"), F.lit(False).alias("alone")))
-            start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
-
-            def step(s: Column, item: Column) -> Column:
-                w, alone = item["w"], item["alone"]
-                empty = s["now"] == ""
-                fits = ~alone & (F.length(indent) + F.length(s["now"]) + 1 + F.length(w) <= limit)
-                flushed = F.when(empty, s["done"]).otherwise(F.concat(s["done"], F.array(F.concat(indent, s["now"]))))
-                return F.struct(
-                    F.when(alone, F.concat(flushed, F.array(F.concat(indent, w)))).when(empty | fits, s["done"]).otherwise(flushed).alias("done"),
-                    F.when(alone, "").when(empty, w).when(fits, F.concat(s["now"], F.lit(" "), w)).otherwise(w).alias("now"),
-                )
-
-            finish = lambda s: unlines(F.when(s["now"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(F.concat(indent, s["now"])))))
-            return F.aggregate(items, start, step, finish)
-
-        return F.when(F.length(line) <= limit, line).otherwise(let(indent, filled))
-
-    return each_line(t, wrapped)
+    @F.pandas_udf(StringType())
+    def whole(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: x if x is None or len(x) <= limit else "\n".join(_filled(line, limit, breakLongWords) for line in x.split("\n")))
+
+    return whole(t)
 
 
 def number_lines(t: Column, start: int = 1, separator: str = ". ", pad: bool = False) -> Column:

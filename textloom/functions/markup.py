@@ -53,7 +53,7 @@ def _numeric(body: Column) -> Column:
 
 def decode_entities(t: Column) -> Column:
     """One pass: the result of an entity is not read again. Unknown ones stay; lone surrogates become U+FFFD."""
-    named = C.entities()
+    named = C.NAMED_ENTITIES
     lowered: dict[str, str] = {}
     for name, value in named.items():
         lowered.setdefault(name.lower(), value)
@@ -117,7 +117,7 @@ def _tidied(t: Column) -> Column:
     return trim(rx(t, "\\n{3,}", "\n\n"))
 
 
-@python
+@python(when=lambda params: bool(params.get("keepLinks")))
 def html_to_text(t: Column, keepLinks: bool = False, listMarker: str = "- ", keepStructure: bool = True) -> Column:
     """Text with blocks as line breaks; a null stays null."""
     t = _without_islands(t)

@@ -61,7 +61,7 @@ def normalise_spaces(t: Column) -> Column:
 
 
 def expand_ligatures(t: Column) -> Column:
-    return replace_all(t, C.spellings(C.LIGATURES).items())
+    return replace_all(t, C.LIGATURES.items())
 
 
 @F.pandas_udf(StringType())
@@ -77,7 +77,7 @@ def _unaccented(s: pd.Series) -> pd.Series:
 
 @python
 def transliterate(t: Column) -> Column:
-    return _unaccented(replace_all(t, C.spellings(C.TRANSLITERATIONS).items()))
+    return _unaccented(replace_all(t, C.TRANSLITERATIONS.items()))
 
 
 def remove_emoji(t: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from textloom.functions.chars import WB, WS_BODY
-from textloom.functions.core import group_count, java_pattern, java_replacement, literal, quoted, rx, trim, unlines, valid_pattern
+from textloom.functions.core import group_count, group_names, java_pattern, java_replacement, literal, quoted, rx, trim, unlines, valid_pattern, with_rest
 
 #: What can be extracted (fixed values, in Java's syntax).
 PATTERNS = {
@@ -42,7 +42,9 @@ def find_replace(t: Column, find: str = "", replace: str = "", regex: bool = Fal
     new = replace.replace("\\n", "\n").replace("\\t", "\t")
     if not regex and matchCase and not wholeWord:
         return F.replace(t, F.lit(find), F.lit(new))
-    return rx(t, pattern, java_replacement(new, group_count(find)) if regex else quoted(new))
+    if not regex:
+        return rx(t, pattern, quoted(new))
+    return rx(t, with_rest(pattern) if "$'" in new else pattern, java_replacement(new, group_count(find), group_names(find)))
 
 
 def replace_rules(t: Column, rules=({"find": "", "replace": ""},), regex: bool = False, matchCase: bool = False, wholeWord: bool = False) -> Column:

@@ -45,7 +45,7 @@ def typographic_dashes(t: Column) -> Column:
 
 
 def ascii_symbols(t: Column) -> Column:
-    return replace_all(t, C.spellings(C.SYMBOLS).items())
+    return replace_all(t, C.SYMBOLS.items())
 
 
 _URL = re.compile(r"(?<![A-Za-z0-9_])https?://[^" + "".join(re.escape(c) for c in C.characters(C.SPACE_POINTS)) + r"<>\"'\])]+", re.I)

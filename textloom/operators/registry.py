@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 
 from textloom.functions import casing, encoding, linewise, markup, repair, replace, spacing, typography
+from textloom.operators.wording import OPERATION_LABELS
 
 GROUPS = ("markup", "repair", "typography", "structure", "spacing", "replace", "case", "format")
 
@@ -23,6 +24,11 @@ class Op:
     exclusive: str | None = None
     params: dict = field(default_factory=dict)
 
+    @property
+    def label(self) -> str:
+        """What users call it; operations added later go by their id."""
+        return OPERATION_LABELS.get(self.id, self.id)
+
 
 _NO_RULES = ({"find": "", "replace": ""},)
 _REPLACE = {"rules": _NO_RULES, "regex": False, "matchCase": False, "wholeWord": False}

@@ -10,21 +10,32 @@ from pyspark.sql import functions as F
 from textloom.functions import chars as C
 from textloom.functions import linewise, markup, repair
 from textloom.functions.core import let, lines, rx, trim
+from textloom.operators.wording import CHECK_DETAILS, CHECK_LABELS
 
 
-def _count(pattern: str) -> Callable[[Column], Column]:
-    return lambda t: F.regexp_count(t, F.lit(pattern))
+#: What checks look at: the text, its lines, and whether it holds anything but ASCII.
+Given = Column
 
 
-def _lines(pattern: str) -> Callable[[Column], Column]:
-    return lambda t: F.size(F.filter(lines(t), lambda x: x.rlike(pattern)))
+def _count(pattern: str) -> Callable[[Given], Column]:
+    return lambda g: F.regexp_count(g["text"], F.lit(pattern))
 
 
-def _outside_emoji(points: str) -> Callable[[Column], Column]:
-    return lambda t: F.regexp_count(rx(t, C.GLUE), F.lit(f"[{C.body(points)}]"))
+def _odd(pattern: str) -> Callable[[Given], Column]:
+    """For patterns that need a character beyond ASCII."""
+    return lambda g: F.when(g["odd"], F.regexp_count(g["text"], F.lit(pattern))).otherwise(0)
 
 
-def hard_wraps(t: Column) -> Column:
+def _lines(pattern: str) -> Callable[[Given], Column]:
+    return lambda g: F.size(F.filter(g["lines"], lambda x: x.rlike(pattern)))
+
+
+def _outside_emoji(points: str) -> Callable[[Given], Column]:
+    held = f"[{C.body(points)}]"
+    return lambda g: F.when(g["odd"] & g["text"].rlike(held), F.regexp_count(rx(g["text"], C.GLUE), F.lit(held))).otherwise(0)
+
+
+def hard_wraps(given: Given) -> Column:
     """Breaks inside a sentence, in a text whose lines look cut to a width."""
 
     def found(ls: Column) -> Column:
@@ -41,41 +52,41 @@ def hard_wraps(t: Column) -> Column:
 
         return F.when(F.size(ls) < 3, 0).otherwise(let(longest, cut))
 
-    return let(F.filter(F.transform(lines(t), trim), lambda x: x != ""), found)
+    return F.when(F.size(given["lines"]) < 3, 0).otherwise(let(given["bare"], found))
 
 
-def running_heads(t: Column) -> Column:
+def running_heads(given: Given) -> Column:
     """Lines of up to 80 characters among those found three times or more."""
-    rows = F.array_sort(F.filter(F.transform(lines(t), trim), lambda k: (k != "") & (F.length(k) <= 80)))
-    return let(rows, lambda s: let(linewise.repeated(s, 3), lambda hot: F.size(F.filter(s, lambda k: F.array_contains(hot, k)))))
+    count = lambda s: F.size(F.filter(s, lambda k, j: linewise.in_run(lambda i: F.get(s, i), j, 3)))
+    return F.when(F.size(given["bare"]) < 3, 0).otherwise(let(F.array_sort(F.filter(given["bare"], lambda k: F.length(k) <= 80)), count))
 
 
-def duplicate_lines(t: Column) -> Column:
-    return let(F.filter(F.transform(lines(t), trim), lambda k: k != ""), lambda ks: F.size(ks) - F.size(F.array_distinct(ks)))
+def duplicate_lines(given: Given) -> Column:
+    return F.size(given["bare"]) - F.size(F.array_distinct(given["bare"]))
 
 
 _LOW = "\\p{Ll}"
 #: Checks in order: id, severity, operations that help, count (fixed ids and severities).
-CHECKS: tuple[tuple[str, str, str, Callable[[Column], Column]], ...] = (
-    ("mojibake", "high", "fixMojibake", _count(C.MOJIBAKE_HINT)),
-    ("replacementChar", "high", "removeControls", _count("\\x{FFFD}")),
+CHECKS: tuple[tuple[str, str, str, Callable[[Given], Column]], ...] = (
+    ("mojibake", "high", "fixMojibake", _odd(C.MOJIBAKE_HINT)),
+    ("replacementChar", "high", "removeControls", _odd("\\x{FFFD}")),
     ("tagChars", "high", "removeInvisibles", _outside_emoji(C.TAG_POINTS)),
-    ("bidi", "high", "removeInvisibles", _count(f"[{C.body(C.BIDI_POINTS)}]")),
-    ("html", "high", "htmlToText", lambda t: F.when(markup.looks_like_html(t), F.regexp_count(t, F.lit("(?i)<[a-z!/][^>]*>"))).otherwise(0)),
+    ("bidi", "high", "removeInvisibles", _odd(f"[{C.body(C.BIDI_POINTS)}]")),
+    ("html", "high", "htmlToText", lambda g: F.when(markup.looks_like_html(g["text"]), F.regexp_count(g["text"], F.lit("(?i)<[a-z!/][^>]*>"))).otherwise(0)),
     ("hardWrap", "high", "unwrapParagraphs", hard_wraps),
     ("hyphenBreaks", "high", "unwrapParagraphs dehyphenate", _count(f"{_LOW}{linewise.HYPHEN}\\n{C.HS}*{_LOW}")),
     ("invisibles", "medium", "removeInvisibles", _outside_emoji(C.INVISIBLE_POINTS)),
     ("controls", "medium", "removeControls", _count(f"[{C.body(C.CONTROL_POINTS)}]")),
-    ("objects", "medium", "removeControls", _count(f"[{C.body(C.OBJECT_POINTS)}]")),
-    ("privateUse", "medium", "removeControls", _count(f"[{C.body(C.PRIVATE_POINTS)}]")),
-    ("nbsp", "medium", "normaliseSpaces", _count(f"[{C.body(C.EXOTIC_POINTS)}]")),
-    ("ligatures", "medium", "expandLigatures", _count("[" + "".join(f"\\x{{{e.split('=')[0]}}}" for e in C.LIGATURES.split()) + "]")),
+    ("objects", "medium", "removeControls", _odd(f"[{C.body(C.OBJECT_POINTS)}]")),
+    ("privateUse", "medium", "removeControls", _odd(f"[{C.body(C.PRIVATE_POINTS)}]")),
+    ("nbsp", "medium", "normaliseSpaces", _odd(f"[{C.body(C.EXOTIC_POINTS)}]")),
+    ("ligatures", "medium", "expandLigatures", _odd("[" + "".join(C.LIGATURES) + "]")),
     ("entities", "medium", "decodeEntities", _count(f"(?i){markup.ENTITY}")),
     ("emailQuoting", "medium", "removeEmailQuoting", _lines("^[ \\t]*>")),
     ("pageNumbers", "medium", "removePageNumbers", _lines(f"(?:{linewise.PAGE_NUMBERS[0]})|(?:{linewise.PAGE_NUMBERS[2]})")),
     ("runningHeads", "medium", "removeRepeatedLines", running_heads),
-    ("smartQuotes", "low", "straightenQuotes", _count(f"[{C.body(C.SMART_QUOTE_POINTS)}]")),
-    ("dashes", "low", "straightenDashes", _count(f"[{C.body(C.SMART_DASH_POINTS)}]")),
+    ("smartQuotes", "low", "straightenQuotes", _odd(f"[{C.body(C.SMART_QUOTE_POINTS)}]")),
+    ("dashes", "low", "straightenDashes", _odd(f"[{C.body(C.SMART_DASH_POINTS)}]")),
     ("bullets", "low", "normaliseListMarkers", _lines(f"^[ \\t]*[{C.body(C.BULLET_POINTS)}{C.body(C.PRIVATE_POINTS)}]")),
     ("duplicateLines", "low", "deduplicateLines", duplicate_lines),
     ("multiSpace", "low", "collapseSpaces", _count(f"{C.NOT_WS}{C.HS}{{2,}}{C.NOT_WS}")),
@@ -89,17 +100,22 @@ CHECKS: tuple[tuple[str, str, str, Callable[[Column], Column]], ...] = (
 SEVERITIES = ("high", "medium", "low")
 
 
+def given_of(t: Column) -> Given:
+    bare = lambda ls: F.filter(F.transform(ls, trim), lambda x: x != "")
+    return let(lines(t), lambda ls: F.struct(t.alias("text"), ls.alias("lines"), bare(ls).alias("bare"), t.rlike("[^\\x{0}-\\x{7F}]").alias("odd")))
+
+
 def counts_of(t: Column, names: Iterable[str] | None = None) -> Column:
     """One struct with a count for each check (or those named)."""
     wanted = set(names) if names is not None else None
-    return F.struct(*[f(t).cast("int").alias(i) for i, _, _, f in CHECKS if wanted is None or i in wanted])
+    return let(given_of(t), lambda g: F.struct(*[f(g).cast("int").alias(i) for i, _, _, f in CHECKS if wanted is None or i in wanted]))
 
 
 def scan_wide(df: DataFrame, column: str = "text") -> DataFrame:
     """The other columns of ``df`` and a column for each check."""
     rest = [c for c in df.columns if c != column]
-    given = df.withColumn(column, F.coalesce(F.col(column), F.lit("")))
-    return given.select(*rest, *[f(F.col(column)).cast("long").alias(i) for i, _, _, f in CHECKS])
+    counted = df.withColumn(column, counts_of(F.coalesce(F.col(column), F.lit(""))))
+    return counted.select(*rest, *[F.col(column)[i].cast("long").alias(i) for i, *_ in CHECKS])
 
 
 def issues(t: Column) -> Column:
@@ -108,13 +124,14 @@ def issues(t: Column) -> Column:
         *[
             F.struct(
                 F.lit(SEVERITIES.index(s)).alias("rank"), (-c[i]).alias("less"), F.lit(n).alias("ordinal"), F.lit(i).alias("id"),
-                F.lit(s).alias("severity"), c[i].alias("count"), F.array(*map(F.lit, ops.split())).alias("ops"),
+                F.lit(s).alias("severity"), F.lit(CHECK_LABELS[i]).alias("label"), F.lit(CHECK_DETAILS.get(i)).cast("string").alias("detail"),
+                c[i].alias("count"), F.array(*map(F.lit, ops.split())).alias("ops"),
             )
             for n, (i, s, ops, _) in enumerate(CHECKS)
         ]
     )
     found = let(counts_of(F.coalesce(t, F.lit(""))), lambda c: F.array_sort(F.filter(rows(c), lambda r: r["count"] > 0)))
-    return F.transform(found, lambda r: F.struct(r["id"].alias("id"), r["severity"].alias("severity"), r["count"].alias("count"), r["ops"].alias("ops")))
+    return F.transform(found, lambda r: F.struct(*[r[k].alias(k) for k in ("id", "severity", "label", "detail", "count", "ops")]))
 
 
 def scan_long(df: DataFrame, key: str, column: str = "text") -> DataFrame:

@@ -54,8 +54,13 @@ def enabled_ops(options: CleanOptions | dict | None = None) -> list[str]:
     return out
 
 
-def clean(df: DataFrame, options: CleanOptions | dict | None = None, column: str = "text") -> DataFrame:
-    return run_pipeline(df, enabled_ops(options), column=column)
+def clean(df: DataFrame, options: CleanOptions | dict | None = None, column: str = "text", html_column: str | None = None) -> DataFrame:
+    """``html_column`` (boolean, as ``sources.read_files`` gives it): rows whose HTML is stripped whatever the switch says."""
+    given = CleanOptions.of(options)
+    if html_column and not given.stripHtml:
+        raw = repair.newlines(F.coalesce(F.col(column), F.lit("")))
+        df = df.withColumn(column, F.when(F.col(html_column), markup.html_to_text(raw)).otherwise(F.col(column)))
+    return run_pipeline(df, enabled_ops(given), column=column)
 
 
 def plain_ascii(t: Column) -> list:
@@ -171,7 +176,8 @@ def describe_changes(before: Column, after: Column, options: CleanOptions | dict
         second = let(F.array_compact(F.array(*acted, none)), actions)
         return F.array_compact(F.array(first, second))
 
-    sentences = let(counts_of(raw), lambda was: let(counts_of(F.coalesce(after, F.lit(""))), lambda now: told(was, now)))
+    needed = [check for check, ops, *_ in CHARACTER_FIXES + STRUCTURE_FIXES if on & set(ops.split())]
+    sentences = let(counts_of(raw, needed), lambda was: let(counts_of(F.coalesce(after, F.lit("")), needed), lambda now: told(was, now)))
     return F.when(raw == "", F.array().cast("array<string>")).otherwise(sentences)
 
 

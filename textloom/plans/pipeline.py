@@ -19,7 +19,7 @@ from textloom.operators.registry import OPS
 def run_pipeline(df: DataFrame, enabled: Iterable[str], params: dict[str, dict] | None = None, column: str = "text", errors: str | None = None) -> DataFrame:
     """``df`` with ``column`` changed by the enabled operations in registry order; unknown ids are ignored, null is empty.
 
-    An operation whose parameters are bad is skipped; with ``errors`` that column lists (id, message).
+    An operation whose parameters are bad is skipped; with ``errors`` that column lists (id, label, message).
     """
     active, failed = set(enabled), []
     out = df.withColumn(column, repair.newlines(F.coalesce(F.col(column), F.lit(""))))
@@ -30,10 +30,10 @@ def run_pipeline(df: DataFrame, enabled: Iterable[str], params: dict[str, dict]
         try:
             out = applied(out, column, op.run, **given)
         except ValueError as e:
-            failed.append((op_id, str(e)))
+            failed.append((op_id, op.label, str(e)))
     if errors:
-        rows = [F.struct(F.lit(i).alias("id"), F.lit(m).alias("message")) for i, m in failed]
-        out = out.withColumn(errors, F.array(*rows) if rows else F.array().cast("array<struct<id:string,message:string>>"))
+        rows = [F.struct(*[F.lit(v).alias(k) for k, v in zip(("id", "label", "message"), f, strict=True)]) for f in failed]
+        out = out.withColumn(errors, F.array(*rows) if rows else F.array().cast("array<struct<id:string,label:string,message:string>>"))
     return out
 
 

@@ -166,15 +166,15 @@ SQL_OPS: dict[str, tuple] = {
     "removeInvisibles": (DIRT, {}, [sql_rx("t", f"[{C.body(C.INVISIBLE_POINTS)}{C.body(C.TAG_POINTS)}]")]),
     "removeControls": (DIRT, {}, [sql_rx("t", f"[{C.body(C.CONTROL_POINTS)}{C.body(C.OBJECT_POINTS)}{C.body(C.PRIVATE_POINTS)}]")]),
     "normaliseSpaces": (DIRT, {}, [sql_rx("t", f"[{C.body(C.EXOTIC_POINTS)}]", " ")]),
-    "expandLigatures": (DIRT, {}, [sql_replace("t", C.spellings(C.LIGATURES).items())]),
-    "transliterate": (MARKS, {}, [sql_replace("t", C.spellings(C.TRANSLITERATIONS).items()), sql_rx("strip_accents(t)", f"[{C.body(C.COMBINING_POINTS)}]")]),
+    "expandLigatures": (DIRT, {}, [sql_replace("t", C.LIGATURES.items())]),
+    "transliterate": (MARKS, {}, [sql_replace("t", C.TRANSLITERATIONS.items()), sql_rx("strip_accents(t)", f"[{C.body(C.COMBINING_POINTS)}]")]),
     "removeEmoji": (DIRT, {}, ["replace(t, chr(128512), '')"]),
     "asciiOnly": (DIRT, {"replacement": "?"}, [sql_rx("t", "[\\x{10000}-\\x{10FFFF}]", "??"), sql_rx("t", "[^\\n\\t -~]", "?")]),
     "straightenQuotes": (DIRT, {}, [sql_translate("t", C.characters(C.SINGLE_QUOTES) + C.characters(C.DOUBLE_QUOTES), "'" * 11 + '"' * 10)]),
     "curlQuotes": (QUOTES, {}, [sql_rx("t", a, b) for a, b in _QUOTED]),
     "straightenDashes": (DIRT, {}, [sql_rx("t", f"({C.NOT_WS})[\\x{{2014}}\\x{{2015}}]({C.NOT_WS})", "\\1 - \\2"), sql_translate("t", C.characters(C.DASHES), "-" * 11)]),
     "typographicDashes": (QUOTES, {}, [sql_rx("t", f"([0-9]){C.WS}*-{C.WS}*([0-9])", "\\1\u2013\\2"), sql_rx("t", f"{C.WS}+--{C.WS}+", "\u2014"), "replace(t, '...', chr(8230))"]),
-    "asciiSymbols": (MARKS, {}, [sql_replace("t", C.spellings(C.SYMBOLS).items())]),
+    "asciiSymbols": (MARKS, {}, [sql_replace("t", C.SYMBOLS.items())]),
     "cleanUrls": (LINKS, {}, [sql_replace("t", [("https://a.org/x?utm_source=b&q=1#top", "https://a.org/x?q=1#top"), ("http://b.org/?fbclid=1", "http://b.org/")])]),
     "removeEmailQuoting": (LINES, {}, [sql_rx("t", "(?m)^[ \\t]*(?:>[ \\t]?)+")]),
     "removeListMarkers": (LINES, {}, [sql_rx("t", f"(?m)^([ \\t]*)[{_MARK}][ \\t]+", "\\1"), sql_rx("t", f"(?m)^([ \\t]*){_NUMBER}[ \\t]+", "\\1")]),
@@ -350,7 +350,7 @@ SCAN_COUNTS = {
     "objects": sql_count(f"[{C.body(C.OBJECT_POINTS)}]"),
     "privateUse": sql_count(f"[{C.body(C.PRIVATE_POINTS)}]"),
     "nbsp": sql_count(f"[{C.body(C.EXOTIC_POINTS)}]"),
-    "ligatures": sql_count("[" + "".join(C.spellings(C.LIGATURES)) + "]"),
+    "ligatures": sql_count("[" + "".join(C.LIGATURES) + "]"),
     "entities": sql_count("(?i)&(?:#x?[0-9a-f]+|[a-z][a-z0-9]{1,31});"),
     "emailQuoting": f"len(list_filter({sql_lines('t')}, lambda x: regexp_matches(x, '^[ \\t]*>')))",
     "pageNumbers": f"len(list_filter({sql_lines('t')}, lambda x: regexp_matches(x, {q(f'^{_DIGITS}$')}) OR regexp_matches(x, {q(f'(?i)^{C.WS}*page{C.WS}+[0-9]{{1,4}}({C.WS}+of{C.WS}+[0-9]{{1,4}})?{C.WS}*$')})))",
