@@ -586,8 +586,8 @@ def test_entries_are_the_two_least_in_text_order(spark, monkeypatch):
     texts = ["a b a b a b c", "a", "a b", "", *(" ".join(rng.choice("abcd") * rng.randint(1, 3) for _ in range(rng.randint(3, 60))) for _ in range(12))]
     splits = [(t[: (k := max(t.rfind(" ", 0, len(t) * 3 // 4) + 1, 0))], t[k:]) for t in texts]
     docs = spark.createDataFrame([(0, i, h, t, f"b c {t} d") for i, (h, t) in enumerate(splits)], "bucket int, row int, head string, text string, edited string")
-    for chunk in (order_minhash.CHUNK, 4):
-        monkeypatch.setattr(order_minhash, "CHUNK", chunk)
+    for base in (order_minhash.BASE, 4):
+        monkeypatch.setattr(order_minhash, "BASE", base)
         got = {r["row"]: r for r in order_minhash.fingerprints(docs, entries=6).collect()}
         for i, (head, text) in enumerate(splits):
             for version, name in ((text, "entries"), (f"b c {text} d", "edited_entries")):
@@ -599,11 +599,17 @@ def test_entries_are_the_two_least_in_text_order(spark, monkeypatch):
                     seen[g] += 1
                     units.append(spark_hash(long(g), struct.pack("<i", seen[g])))
                 for j in range(6):
-                    values = [spark_hash(struct.pack("<i", j), long(u)) for u in units]
+                    values = [(spark_hash(struct.pack("<i", j), long(u)) & (1 << 64) - 1) >> 24 for u in units]
                     two = sorted(sorted(range(len(values)), key=values.__getitem__)[:2])
                     assert got[i][name][j] == spark_hash(*[long(values[k]) for k in two])
 
 
+def test_coded_places(spark):
+    places = sorted({0, 1, (1 << 19) - 1, 1 << 33, *(p + d for e in range(18, 33) for p in (1 << e,) for d in (-1, 0, 1, 99_999))})
+    got = [r[0] for r in spark.createDataFrame([(p,) for p in places], "p long").select("p", order_minhash._coded(F.col("p")).alias("c")).orderBy("p").select("c").collect()]
+    assert got == sorted(got) and max(got) < 1 << 23 and got[: places.index(1 << 19)] == places[: places.index(1 << 19)]
+
+
 def test_all_rows_of_one_id(spark):
     rng = random.Random(34)
     rows = [(None, pick(20, rng)) for _ in range(30)] + [(7, "same text")] * 5

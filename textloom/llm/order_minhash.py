@@ -9,7 +9,8 @@ with moved blocks alike; its standard error is at most 0.5 / sqrt(``ENTRIES``).
 The next document by id comes from a window over buckets of neighbouring rows: sampled splitters cut them, and the first
 row after a bucket visits it as a guest, so the texts are shuffled once. Of the splitters there are ``MOST`` at most (16
 bytes each), which go along with the plan. Tokens are exploded inside their bucket: numbering and minima need no further
-shuffle. Minima are taken over pieces of ``CHUNK`` places, then over a text's pieces, so no array grows with a text.
+shuffle. The two least come from sums of minima alone: one for each digit of a place, and no array of them grows with a text.
+Places are told apart exactly below 2^19 k-mers, and beyond to one part in 2^19 of themselves (ties: by hash).
 
 Defined cases: null texts are empty; an empty text has the fingerprint of no tokens, equal to any other such and unlike all
 others; rows of one id are ordered by a hash of the text, fully repeated
@@ -29,8 +30,9 @@ K = 2
 ENTRIES = 16
 PIECE = 4
 TOKEN = r"[^\x20\x09-\x0D]{1,%d}" % PIECE
-#: Places whose units one array holds.
-CHUNK = 65_536
+#: Places are grouped by their digits in this base, and digits by quotient and remainder of ``PART``.
+BASE = 32
+PART = 6
 #: Rows of a bucket, about, and most buckets.
 ROWS = 1000
 MOST = 100_000
@@ -59,32 +61,34 @@ def kmers(tokens_: Column, k: int) -> Column:
     return F.when(F.size(tokens_) >= k, rolled(tokens_, k)).otherwise(short)
 
 
-def _least(units: Column, places: Column, entries: int) -> Column:
-    """For each order the two least units of some, as an array of (value, place)."""
+def _coded(place: Column) -> Column:
+    """A place in 23 bits, in order: exact below 2^19, then with 19 bits after the leading one."""
+    e = F.greatest(F.floor(F.log2(F.greatest(place, F.lit(1)))) - 19, F.lit(0)).cast("int")
+    shift = lambda way, x, by: F.call_function(f"shift{way}", x, by)
+    far = shift("left", (e + 1).cast("long"), F.lit(19)) + shift("right", place - shift("left", F.lit(1).cast("long"), e + 19), e)
+    return F.when(place < 1 << 19, place).otherwise(far)
 
 
-    def two(j: int) -> Column:
-        values = F.transform(units, lambda u: F.xxhash64(F.lit(j), u))
-        return F.transform(F.array(values), lambda v: _two(v, places))[0]
+def _value(j: int) -> Column:
+    """Of hash function j: 40 bits of hash above the place."""
+    return F.shiftleft(F.shiftrightunsigned(F.xxhash64(F.lit(j), F.col("unit")), 24), 23).bitwiseOR(F.col("place"))
 
-    return F.array(*[two(j) for j in range(entries)])
 
+def _digits(n: Column) -> Column:
+    """Digits in base ``BASE`` of places below n."""
+    out = F.when(n <= BASE, 1)
+    for k in range(2, 7):
+        out = out.when(n <= BASE**k, k)
+    return out.otherwise(7)
 
-def _two(values: Column, places: Column) -> Column:
-    """(value, place) of the least value and of the least one beside it, if there is one."""
-    at = lambda x: F.element_at(places, F.array_position(values, x).cast("int"))
+
+def _entry(values: Column) -> Column:
+    """The two least of some values (there may be one or none), in text order, hashed."""
     first = F.array_min(values)
     second = F.array_min(F.array_remove(values, first))
-    one = F.struct(first.alias("value"), at(first).alias("place"))
-    return F.when(second.isNull(), F.array(one)).otherwise(F.array(one, F.struct(second.alias("value"), at(second).alias("place"))))
-
-
-def _entry(parts: Column, j: int, own: int) -> Column:
-    """Entry j of a version: its head's and its own least units, the two least of all in text order."""
-    mine = F.filter(parts, lambda p: p["side"].isin(0, own))
-    two = F.slice(F.sort_array(F.flatten(F.transform(mine, lambda p: p["least"][j]))), 1, 2)
-    in_order = F.transform(F.sort_array(F.transform(two, lambda t: F.struct(t["place"], t["value"]))), lambda t: t["value"])
-    return F.xxhash64(in_order)
+    two = F.filter(F.array(first, second), lambda v: v.isNotNull())
+    placed = F.transform(two, lambda v: F.struct(v.bitwiseAND(F.lit((1 << 23) - 1)).alias("place"), F.shiftright(v, 23).alias("hash")))
+    return F.xxhash64(F.transform(F.sort_array(placed), lambda x: x["hash"]))
 
 
 def fingerprints(pairs: DataFrame, k: int = K, entries: int = ENTRIES) -> DataFrame:
@@ -104,24 +108,37 @@ def fingerprints(pairs: DataFrame, k: int = K, entries: int = ENTRIES) -> DataFr
 
     nothing = F.array().cast("array<long>")
     rows = rows.select("bucket", "row", rolled(F.col("head"), k).alias("s"), own("text").alias("x"), F.when(F.col("two"), own("edited")).otherwise(nothing).alias("y"))
-    rows = rows.select("bucket", "row", F.size("s").alias("ns"), F.size("x").alias("nx"), F.posexplode_outer(F.concat("s", "x", "y")).alias("at", "kmer"))
+    rows = rows.select("bucket", "row", F.size("s").alias("ns"), F.size("x").alias("nx"), F.size("y").alias("ny"), F.posexplode_outer(F.concat("s", "x", "y")).alias("at", "kmer"))
     side = F.when(F.col("at") < F.col("ns"), 0).when(F.col("at") < F.col("ns") + F.col("nx"), 1).otherwise(2)
     pos = F.when(side == 2, F.col("at") - F.col("nx")).otherwise(F.col("at")).cast("long")
     # sorting starts with a hash of row and k-mer: one comparison of longs settles nearly all of it
-    rows = rows.select("bucket", "row", "kmer", side.alias("side"), pos.alias("place"), F.xxhash64("row", "kmer").alias("own"))
+    rows = rows.select("bucket", "row", "kmer", side.alias("side"), pos.alias("place"), _digits(F.col("ns") + F.greatest("nx", F.col("ny"))).alias("digits"), F.xxhash64("row", "kmer").alias("own"))
     seen = Window.partitionBy("own", "bucket").orderBy("side", "place")
     sofar = seen.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # occurrences count within a version: for the edited one, those of the other's own part do not
     others = F.when(F.col("side") == 2, F.sum(F.when(F.col("side") == 1, 1).otherwise(0)).over(sofar)).otherwise(0)
     numbered = rows.withColumn("unit", F.xxhash64("kmer", (F.row_number().over(seen) - others).cast("int")))
-    pieces = numbered.groupBy("bucket", "row", "side", F.floor(F.col("place") / CHUNK).alias("chunk")).agg(
-        F.collect_list(F.when(F.col("kmer").isNotNull(), F.col("unit"))).alias("units"), F.collect_list(F.when(F.col("kmer").isNotNull(), F.col("place"))).alias("places")
-    )
-    least = F.when(F.size("units") > 0, _least(F.col("units"), F.col("places"), entries))
-    parts = pieces.select("bucket", "row", F.struct("side", least.alias("least")).alias("part")).groupBy("bucket", "row").agg(F.collect_list("part").alias("parts"))
-    parts = parts.withColumn("parts", F.filter("parts", lambda p: p["least"].isNotNull()))
-    of = lambda own: F.array(*[_entry(F.col("parts"), j, own) for j in range(entries)])
-    return parts.select("bucket", "row", of(1).alias("entries"), of(2).alias("edited_entries"))
+    # the least of each group of places with one digit in common, digit by digit: two places differ in some digit, so the
+    # second least of all is the least of a group that the least is not in; the groups' digits are parted likewise
+    names = [f"v{j}" for j in range(entries)]
+    by_digit = numbered.select("bucket", "row", "side", "kmer", "unit", "place", F.explode(F.sequence(F.lit(0), F.col("digits") - 1)).alias("digit"))
+    own = F.call_function("shiftright", F.col("place"), F.col("digit") * (BASE.bit_length() - 1)).bitwiseAND(F.lit(BASE - 1)).alias("own")
+    by_digit = by_digit.select("bucket", "row", "side", "kmer", "unit", _coded(F.col("place")).alias("place"), "digit", own)
+    least = by_digit.groupBy("bucket", "row", "side", "digit", "own").agg(*[F.min(F.when(F.col("kmer").isNotNull(), _value(j))).alias(n) for j, n in enumerate(names)])
+    least = least.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("half"))
+    part = F.when(F.col("half") == 0, F.floor(F.col("own") / PART)).otherwise(F.col("own") % PART).alias("part")
+    of = lambda sides: [F.min(F.when(F.col("side").isin(*sides), F.col(n))).alias(f"{n}_{sides[1]}") for n in names]
+    both = least.groupBy("bucket", "row", "digit", "half", part).agg(*of((0, 1)), *of((0, 2)))
+    found = both.groupBy("bucket", "row").agg(F.collect_list(F.array(*[F.col(f"{n}_{k}") for k in (1, 2) for n in names])).alias("all"))
+
+    def of_version(first: int) -> Column:
+        return F.array(*[_entry(_column(F.col("all"), first + j)) for j in range(entries)])
+
+    return found.select("bucket", "row", of_version(0).alias("entries"), of_version(entries).alias("edited_entries"))
+
+
+def _column(rows: Column, j: int) -> Column:
+    return F.filter(F.transform(rows, lambda r: r[j]), lambda v: v.isNotNull())
 
 
 def likeness(x: Column, y: Column) -> Column:
