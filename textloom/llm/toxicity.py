@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -125,14 +126,16 @@ def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int = 5)
     """Joint training of embeddings and softmax. Deterministic."""
     rng = np.random.default_rng(seed)
     vocab: dict[str, int] = {}
-    grams: list[list[int]] = []
+    flat_rows, size = array("H"), array("I")  # the bags of all words, one after another
     windows, doc_of, all_ids, texts_at, cells = [], [], [], [], []
     for i, text in enumerate(texts):
         ids = []
         for w in words_of(text):
             if w not in vocab:
                 vocab[w] = len(vocab)
-                grams.append(subwords(w))
+                bag = subwords(w)
+                flat_rows.extend(bag)
+                size.append(len(bag))
             if not ids or ids[-1] != vocab[w]:
                 ids.append(vocab[w])
         base, last = len(all_ids), max(len(ids) - SPAN, 0)
@@ -150,8 +153,7 @@ def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int = 5)
     doc_of, all_ids = np.array(doc_of), np.array(all_ids)
     begin, sizes = np.array(texts_at).T
     once = np.ones(len(all_ids), bool)
-    size = np.array([len(g) for g in grams])
-    flat = np.concatenate([np.array(g) for g in grams])
+    size, flat = np.array(size, np.int64), np.frombuffer(flat_rows, np.uint16)
     first = np.concatenate([[0], np.cumsum(size)])
     emb = rng.normal(0, 0.1, (BUCKETS, DIM))
     out, bias = rng.normal(0, 0.1, (DIM, 2)), np.zeros(2)
@@ -161,8 +163,8 @@ def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int = 5)
     for epoch in range(10 * epochs):
         if epoch >= epochs and step >= STEPS:
             break
-        word_vec = np.add.reduceat(emb[flat], first[:-1]) / size[:, None]
-        lean = word_vec @ (out[:, 1] - out[:, 0])
+        # what each word says by itself: the model is linear, so numbers do
+        lean = np.add.reduceat((emb @ (out[:, 1] - out[:, 0]))[flat], first[:-1]) / size
         starts, means = window_means(lean[all_ids], begin, sizes, once)
         at_word = np.full(len(all_ids), -np.inf)
         at_word[starts] = means
