@@ -104,7 +104,13 @@ def format_duration(minutes: Column) -> Column:
 
 
 def _one_place(x: Column) -> Column:
-    return F.format_string("%.1f", x.cast("double"))
+    """One decimal, of the exact value of the double and halves upwards: below 4096 in units of 2^-50, which are exact."""
+    x = x.cast("double")
+    units = (x * F.lit(float(1 << 50))).cast("bigint")
+    rest = units.bitwiseAND(F.lit((1 << 50) - 1))
+    tenths = F.shiftright(units, 50) * 10 + F.shiftright(rest * 10 + F.lit(1 << 49), 50)
+    exact = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+    return F.when(F.abs(x) < 4096, exact).otherwise(F.format_string("%.1f", x))
 
 
 def format_count(value: Column) -> Column:

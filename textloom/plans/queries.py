@@ -472,6 +472,33 @@ def _by_language(spark: SparkSession, sf: str) -> DataFrame:
     return d.groupBy("lang").agg(F.count("*").alias("documents"), F.sum("words").alias("words"), F.sum("bytes").alias("bytes"))
 
 
+def sql_described(before: str, after: str) -> str:
+    """What ``describe_changes`` says with the default switches, of the scans of two sources of (doc_id, t)."""
+    on = set(cleaner.enabled_ops())
+
+    def parts(fixes) -> str:
+        out = ["NULL::VARCHAR"]
+        for check, ops, phrase, *more in fixes:
+            if not on & set(ops.split()):
+                continue
+            n = f'(w."{check}" - n."{check}")'
+            number = lambda one, many, n=n: f"{n} || ' ' || CASE WHEN {n} = 1 THEN {q(one)} ELSE {q(many)} END"
+            said = number(phrase, *more) if len(more) == 1 else f"{q(phrase)} || {number(*more)}" if more else q(phrase)
+            out.append(f"CASE WHEN {n} > 0 THEN {said} END")
+        return f"list_filter([{', '.join(out)}], lambda x: x IS NOT NULL)"
+
+    most = cleaner.MOST_LISTED
+    others = f"(len(f) - {most - 1}) || ' ' || CASE WHEN len(f) = {most} THEN 'other fix' ELSE 'other fixes' END"
+    listed = lambda x: f"CASE WHEN len({x}) < 2 THEN array_to_string({x}, '') ELSE array_to_string({x}[:-2], ', ') || ' and ' || {x}[-1] END"
+    return (
+        f"WITH w AS (SELECT * FROM ({sql_scan(before)} SELECT * FROM s2)), n AS (SELECT * FROM ({sql_scan(after)} SELECT * FROM s2)), "
+        f"p AS (SELECT doc_id, {parts(cleaner.CHARACTER_FIXES)} AS f, {parts(cleaner.STRUCTURE_FIXES)} AS a FROM w JOIN n USING (doc_id)), "
+        f"c AS (SELECT doc_id, CASE WHEN len(f) > {most} THEN list_append(f[:{most - 1}], {others}) ELSE f END AS f, a FROM p), "
+        f"l AS (SELECT doc_id, CASE WHEN len(f) > 0 THEN 'Fixed ' || {listed('f')} || '.' END AS f, {listed('a')} AS a FROM c) "
+        "SELECT doc_id, concat_ws(' ', f, CASE WHEN a <> '' THEN upper(a[1]) || a[2:] || '.' END) AS said FROM l"
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out["clean_default"] = steps(source_sql(DIRT), sql_clean())
@@ -517,6 +544,27 @@ def oracle_sql() -> dict[str, str]:
     out["inspect_characters_topk"] = fill(INSPECT_SQL, source=source_sql(DIRT))
     kinds = {k: f"[{b}]" for k, b in scan.MARKS} | {"other": "[^\\n -~" + "".join(b for _, b in scan.MARKS) + "]"}
     out["mark_counts"] = steps(source_sql(DIRT), [NEWLINES], "doc_id, " + ", ".join(f'{sql_count(p)} AS "{k}"' for k, p in kinds.items()))
+    names = " ".join(f"WHEN cp = {cp} THEN {q(text)}" for cp, text in C.CHARACTER_NAMES.items())
+    hidden = " OR ".join(f"cp BETWEEN {a} AND {b}" for a, b in C.ranges(C.UNPRINTABLE_POINTS))
+    named = (
+        f"CASE {names} WHEN cp BETWEEN 917504 AND 917631 THEN 'invisible tag character' WHEN cp BETWEEN 57344 AND 63743 THEN 'private-use glyph (font-specific)' "
+        "WHEN cp BETWEEN 768 AND 879 THEN 'combining accent' WHEN cp < 32 OR cp BETWEEN 127 AND 159 THEN 'control character' "
+        "WHEN cp >= 126976 THEN 'emoji or pictograph' ELSE 'non-ASCII character' END"
+    )
+    ranked, _, _ = fill(INSPECT_SQL, source=source_sql(DIRT)).rpartition("SELECT doc_id, rank")
+    out["inspect_character_names"] = f"{ranked}SELECT doc_id, rank, {named} AS name, NOT ({hidden}) AS printable FROM d WHERE rank <= 200"
+    tenth = lambda x: f"printf('%.1f', {x} + CASE WHEN ({x} * 4) % 2 = 1 THEN 0.01 ELSE 0 END)"  # noqa: E731  exact halves upwards
+    kb = "regexp_replace(" + tenth("(n_chars / {0})") + ", '\\.0$', '') || '{1}'"
+    minutes = "(n_chars / 1000.0::DOUBLE)"
+    out["format_numbers"] = (
+        "SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 1048576 THEN " + tenth("(n_chars / 1024.0::DOUBLE)") + " || ' KB' ELSE " + tenth("(n_chars / 1048576.0::DOUBLE)") + " || ' MB' END AS size, "
+        f"CASE WHEN n_chars < 10000 THEN format('{{:,}}', n_chars) WHEN n_chars < 1000000 THEN {kb.format('1e3::DOUBLE', 'k')} ELSE {kb.format('1e6::DOUBLE', 'M')} END AS chars, "
+        f"CASE WHEN {minutes} = 0 THEN '0 sec' WHEN {minutes} < 1 THEN greatest(1, floor({minutes} * 60 + 0.5))::BIGINT || ' sec' WHEN {minutes} < 60 THEN floor({minutes} + 0.5)::BIGINT || ' min' "
+        f"ELSE floor({minutes} / 60)::BIGINT || ' hr ' || floor({minutes} - floor({minutes} / 60) * 60 + 0.5)::BIGINT || ' min' END AS time FROM documents"
+    )
+    broken = " OR ".join(f'"{check}" > 0' for checks, _ in cleaner.REASONS for check in checks.split())
+    out["suggestions"] = sql_scan(steps(lined, [NEWLINES], "doc_id, t")) + f""" SELECT doc_id, concat_ws(',', CASE WHEN {broken} THEN 'joinLines' END, CASE WHEN html > 0 THEN 'stripHtml' END) AS ids FROM s2"""
+    out["describe_changes"] = sql_described(steps(source_sql(DIRT), [NEWLINES], "doc_id, t"), steps(source_sql(DIRT), sql_clean(), "doc_id, t"))
     out["doc_stats"] = fill(STATS_SQL, source="SELECT doc_id, text AS t FROM documents", key="doc_id")
     out["conversation_stats"] = fill(STATS_SQL, source="SELECT conv_id, turn, text AS t FROM conversations", key="conv_id, turn")
     out["word_frequency"] = FREQUENCY_SQL
