@@ -5,8 +5,8 @@
 2. A class has a MinHash signature of ``VALUES`` values. Each of ``TREES`` trees is the order of all signatures by its own
    drawing of ``DEPTH + EXTRA`` columns: one range-partitioned sort orders all trees, so a crowded stretch spans several
    tasks, whose edges are compared. Classes that share the first ``DEPTH`` columns of a tree are a region.
-3. Candidates are neighbours with the longest common prefixes: first the next one in each order. Once links among these are
-   confirmed, only classes that are not yet connected are compared, at a depth that follows how crowded their region is: up
+3. Candidates are neighbours with the longest common prefixes: first the next one in the orders of a quarter of the regions.
+   Once links among these are confirmed, only classes that are not yet connected are compared, at a depth that follows how crowded their region is: up
    to ``CROWD`` classes, all of the region at once; beyond, first those that share ``DEPTH + EXTRA`` columns, then one column
    less each round, down to the whole region. So nothing is left out, and most of a crowd is connected in small groups.
 4. In a group, the rows of its largest component meet the others and the others each other, in cells of ``CELL`` rows a side,
@@ -42,6 +42,7 @@ BINS = 512
 DEVIATIONS = 4.5
 CROWD = 4096
 CELL = 2048
+FIRST = 4
 BROADCAST = 1_000_000
 MAX_HASHES = 150_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -213,6 +214,7 @@ def in_order(rows: DataFrame) -> DataFrame:
 
         def given(whole, keep, follows, edge):
             n = whole.num_rows
+            follows = (follows[0], follows[1] | ((whole.column(0).to_numpy() % FIRST != 0) & (edge == 0)))  # read of these regions alone
             columns = [*whole.columns, pa.array(follows[0], pa.int64(), mask=follows[1]), pa.array(np.full(n, part, np.int32)), pa.array(edge.astype(np.int32))]
             return pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep))
 
@@ -242,12 +244,16 @@ def in_order(rows: DataFrame) -> DataFrame:
 
 
 def next_ones(rows: DataFrame) -> DataFrame:
-    """(a, b) with a < b: each class and the next one of its region, in the order of a tree."""
+    """(a, b) with a < b: each class and the next one of its region, in the order of a tree, in one of ``FIRST`` regions.
+
+    These connect most of a crowd; more of them would be pairs within one component. What they miss is compared later, in all regions.
+    """
     # two rows a task at most
     order = Window.orderBy("part", "edge")
     edges = rows.filter("edge > 0").select("region", "rep", "edge", F.lead("rep").over(order).alias("next"), F.lead("region").over(order).alias("on"))
-    across = edges.filter("edge > 1 and on = region").select("rep", "next")
-    pairs = rows.select("rep", "next").union(across).filter("rep <> next")
+    across = edges.filter("edge > 1 and on = region").select("rep", "next")  # of any region: they are few
+    mine = F.pmod("region", F.lit(FIRST)) == 0
+    pairs = rows.filter(mine).select("rep", "next").union(across).filter("rep <> next")
     return pairs.select(F.least("rep", "next").alias("a"), F.greatest("rep", "next").alias("b"))
 
 
@@ -401,8 +407,9 @@ def classes_of(base: DataFrame) -> tuple[DataFrame, DataFrame]:
     rep = F.when(F.col("names").isNull(), F.col("did")).otherwise(F.xxhash64("s1", "s2", "did"))
     names = written(named.select("s1", "s2", "n", "did", "thash", rep.alias("rep")), "names")
     rows = full.select("did", "thash", "n_shingles", "marks", "tops", "rests", "sketch").join(names.select("did", "thash", "rep"), ["did", "thash"])
-    same = F.max(F.struct("did", "thash", "n_shingles", "marks", "tops", "rests", "sketch")).alias("x")  # rows that repeat fully
-    return names, written(rows.groupBy("rep").agg(same).select("rep", "x.*"), "classes")
+    # rows that repeat fully are one; they lie together already, by id and hash of the text
+    same = F.max(F.struct("n_shingles", "marks", "tops", "rests", "sketch")).alias("x")
+    return names, written(rows.groupBy("did", "thash", "rep").agg(same).select("rep", "did", "thash", "x.*"), "classes")
 
 
 def open_groups(rows: DataFrame, comps: DataFrame, extra: int, crowd: int, first: bool) -> DataFrame:
