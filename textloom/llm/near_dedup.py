@@ -5,7 +5,7 @@
 2. A class has a MinHash signature of ``VALUES`` values. Each of ``TREES`` trees is the order of all signatures by its own
    drawing of ``DEPTH + EXTRA`` columns: one range-partitioned sort orders all trees, so a crowded stretch spans several
    tasks, whose edges are compared. Classes that share the first ``DEPTH`` columns of a tree are a region.
-3. Candidates are neighbours with the longest common prefixes: first the next one in the orders of a quarter of the regions.
+3. Candidates are neighbours with the longest common prefixes: first the next one in the orders of half the regions.
    Once links among these are confirmed, only classes that are not yet connected are compared, at a depth that follows how crowded their region is: up
    to ``CROWD`` classes, all of the region at once; beyond, first those that share ``DEPTH + EXTRA`` columns, then one column
    less each round, down to the whole region. So nothing is left out, and most of a crowd is connected in small groups.
@@ -42,7 +42,7 @@ BINS = 512
 DEVIATIONS = 4.5
 CROWD = 4096
 CELL = 2048
-FIRST = 4
+FIRST = 2
 BROADCAST = 1_000_000
 MAX_HASHES = 150_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
