@@ -414,6 +414,29 @@ def test_near_dedup_of_one_crowd(spark):
         assert {r["did"]: (r["n_shingles"], r["component"]) for r in out.collect()} == components_by_hand(rows)
 
 
+def test_pairs_of_a_crowd_stay_in_their_cells(spark, monkeypatch):
+    """Near copies whose pairs all come in question: what is written is in proportion to the rows and trees, not to the pairs (7,140)."""
+    rng, counts, written = random.Random(43), {}, near_dedup.written
+    base = pick(60, rng).split()
+    rows = []
+    for i in range(120):
+        w = list(base)
+        for _ in range(rng.randint(0, 14)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(500)}"
+        rows.append((i, " ".join(w)))
+
+    def counted(df, name):
+        out = written(df, name)
+        counts[name] = max(counts.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "written", counted)
+    monkeypatch.setattr(near_dedup, "ITEMS", 16)  # a text weighs several rows
+    out = near_dedup.grouped(frame(spark, rows), depth=1, trees=6, cell=20, deviations=50.0)
+    assert {r["did"]: (r["n_shingles"], r["component"]) for r in out.collect()} == components_by_hand(rows)
+    assert max(counts.values()) <= 6 * 120, counts
+
+
 def test_rows_of_one_id_are_documents(spark):
     rng = random.Random(42)
     texts = [pick(60, rng) for _ in range(4)]

@@ -13,7 +13,10 @@
    so neither memory nor time of a task follows the group; the largest component, however large, is never compared with itself.
 5. A candidate whose sketches differ too much goes: a sketch has a byte for the least hash in each of ``BINS`` ranges, and
    of the ranges that either set fills, at least the threshold's share must agree, less ``DEVIATIONS`` standard deviations
-   (a pair of exactly 0.8 is lost three times in a million). The rest are confirmed on the full sets.
+   (a pair of exactly 0.8 is lost three times in a million). The rest are confirmed on the full sets: those of neighbours by a
+   join, as there is one a class and order; those of a group within its cells. There the first pass tells which rows have a
+   candidate, the second brings the full sets of these alone, compares all their candidates that links found before have not
+   connected, and gives the links that connect more. So no row is ever made for a pair, and the pairs of a crowd cost time alone.
 6. Components of confirmed links by alternating large-star and small-star steps on DataFrames.
 
 A pair of similarity 0.8 shares no region with probability 6.5e-5, one of 0.85 with 1e-7 (binomial over agreeing columns).
@@ -42,6 +45,10 @@ BINS = 512
 DEVIATIONS = 4.5
 CROWD = 4096
 CELL = 2048
+#: So many shingles weigh as much as a row, where a cell holds full sets.
+ITEMS = 1024
+#: Full sets compared with one at a time, between looks at what is connected.
+STEP = 64
 FIRST = 2
 BROADCAST = 1_000_000
 MAX_HASHES = 150_000
@@ -274,58 +281,96 @@ def cells(known: DataFrame, cell: int) -> DataFrame:
     return known.select("*", F.explode(to).alias("to")).select("*", "to.*").drop("to")
 
 
-def compared(known: DataFrame, least: int, deviations: float, cell: int) -> DataFrame:
-    """(a, b) with a < b: classes of one group but of different components whose sketches allow it.
-
-    With ``once``, a pair is given in the first tree alone that has it in one region. A task holds one cell.
-    """
-    names = ("rep", "comp", "n_shingles", "marks", "sketch")
-
-    def pairs(columns: list[np.ndarray], side: np.ndarray, among: bool, region: int, once: bool):
-        rep, comp, size, keys, sketch = columns
-        left, a, b = np.flatnonzero(side == 0), [], []
-        rows = range(len(rep)) if among and not side.any() else np.flatnonzero(side == 1).tolist()
-        for i in rows:
-            other = left[left < i] if among and not side.any() else left
-            fit = np.minimum(size[other], size[i]) * 100 >= np.maximum(size[other], size[i]) * least
-            other = other[fit & (comp[other] != comp[i])]
-            if len(other):
-                other = other[agreement(sketch[other], size[other], sketch[i], size[i], least, deviations)]
-            if len(other) and once:
-                first = (keys[other] == keys[i]).argmax(1)
-                other = other[keys[i][first] == np.uint32(region & 0xFFFFFFFF)]
-            a += np.minimum(rep[other], rep[i]).tolist()
-            b += np.maximum(rep[other], rep[i]).tolist()
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+def by_cell(known: DataFrame, cell: int, names: list[str], schema: str, work) -> DataFrame:
+    """``work(table of a cell) -> pa.RecordBatch`` for each cell of ``known``; the table has ``names`` beside the cell's own columns, by side and rep."""
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
-
-        def done():
-            t = pa.Table.from_batches(held).combine_chunks()
-            of = lambda name: t.column(name).combine_chunks()
-            columns = [of(n).to_numpy() for n in names[:3]] + [_matrix(of("marks"), np.uint32), _matrix(of("sketch"), np.uint8)]
-            return pairs(columns, of("side").to_numpy(), of("kind")[0].as_py() == 1, of("region")[0].as_py(), of("once")[0].as_py())
-
-        current = None
+        current, held = None, []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cell_of = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy().astype(np.int64) for c in ("region", "sub", "kind", "i", "j")], 1)
+            cell_of = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy().astype(np.int64) for c in key], 1)
             cuts = [0, *(np.flatnonzero((cell_of[1:] != cell_of[:-1]).any(1)) + 1).tolist(), len(cell_of)]
             for lo, hi in zip(cuts, cuts[1:], strict=False):
                 name = tuple(cell_of[lo].tolist())
                 if name != current and held:
-                    yield done()
+                    yield work(pa.Table.from_batches(held).combine_chunks())
                     held = []
                 current = name
                 held.append(batch.slice(lo, hi - lo))
         if held:
-            yield done()
+            yield work(pa.Table.from_batches(held).combine_chunks())
 
-    spread = cells(known, cell).select("region", "sub", "kind", "i", "j", "side", "once", *names)
     key = ["region", "sub", "kind", "i", "j"]
-    return spread.repartition(*key).sortWithinPartitions(*key, "side", "rep").mapInArrow(run, "a long, b long").distinct()
+    spread = cells(known, cell).select(*key, "side", "once", "rep", "comp", *names)
+    return spread.repartition(*key).sortWithinPartitions(*key, "side", "rep").mapInArrow(run, schema)
+
+
+def _column(t: pa.Table, name: str) -> pa.Array:
+    return pa.concat_arrays(t.column(name).chunks)
+
+
+def candidates(t: pa.Table, comp: np.ndarray, least: int, deviations: float):
+    """(i, others): a row of a cell and those it meets there that are of other components and whose sketches allow the similarity.
+
+    ``comp`` is read anew for each row. With ``once``, a pair is given in the first tree alone that has it in one region.
+    """
+    size, side = _column(t, "n_shingles").to_numpy(), _column(t, "side").to_numpy()
+    keys, sketch = _matrix(_column(t, "marks"), np.uint32), _matrix(_column(t, "sketch"), np.uint8)
+    among, once, region = t["kind"][0].as_py() == 1 and not side.any(), t["once"][0].as_py(), t["region"][0].as_py()
+    left = np.flatnonzero(side == 0)
+    for i in range(len(size)) if among else np.flatnonzero(side == 1).tolist():
+        other = left[left < i] if among else left
+        fit = np.minimum(size[other], size[i]) * 100 >= np.maximum(size[other], size[i]) * least
+        other = other[fit & (comp[other] != comp[i])]
+        if len(other):
+            other = other[agreement(sketch[other], size[other], sketch[i], size[i], least, deviations)]
+        if len(other) and once:
+            first = (keys[other] == keys[i]).argmax(1)
+            other = other[keys[i][first] == np.uint32(region & 0xFFFFFFFF)]
+        if len(other):
+            yield i, other
+
+
+def hopeful(known: DataFrame, least: int, deviations: float, cell: int) -> DataFrame:
+    """The rows (region, sub, once, rep, comp, n_shingles) of ``known`` that have a candidate in their group. A task holds one cell."""
+
+    def work(t):
+        good = np.zeros(t.num_rows, bool)
+        for i, other in candidates(t, _column(t, "comp").to_numpy(), least, deviations):
+            good[i] = good[other] = True
+        columns = ["region", "sub", "once", "rep", "comp", "n_shingles"]
+        return pa.RecordBatch.from_arrays([_column(t, c).filter(pa.array(good)) for c in columns], columns)
+
+    schema = "region long, sub long, once boolean, rep long, comp long, n_shingles long"
+    return by_cell(known, cell, ["n_shingles", "marks", "sketch"], schema, work).distinct()
+
+
+def connected(known: DataFrame, least: int, deviations: float, cell: int) -> DataFrame:
+    """(a, b): links that connect all rows of a cell which its candidates, compared on their full sets (``items``), connect.
+
+    Pairs never leave the task, and a cell gives fewer links than it has rows, however many of its pairs are alike or nearly so.
+    """
+
+    def work(t):
+        rep, comp, flat = _column(t, "rep").to_numpy(), _column(t, "comp").to_numpy().copy(), _column(t, "items")
+        ends, flat = flat.offsets.to_numpy(), flat.values.to_numpy().view(np.uint64)
+        items, a, b = [flat[x:y] for x, y in zip(ends, ends[1:], strict=False)], [], []
+        for i, other in candidates(t, comp, least, deviations):
+            while len(other):
+                few, other = other[:STEP], other[STEP:]
+                sizes, theirs = (ends[few + 1] - ends[few]).astype(np.int64), np.concatenate([items[j] for j in few])
+                at = np.minimum(np.searchsorted(items[i], theirs), len(items[i]) - 1)
+                shared = np.add.reduceat((items[i][at] == theirs).astype(np.int64), np.cumsum(sizes) - sizes)
+                for j in few[100 * shared >= least * (sizes + len(items[i]) - shared)].tolist():
+                    if comp[j] != comp[i]:
+                        a.append(rep[i])
+                        b.append(rep[j])
+                        comp[comp == comp[j]] = comp[i]
+                other = other[comp[other] != comp[i]]
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return by_cell(known, cell, ["n_shingles", "marks", "sketch", "items"], "a long, b long", work)
 
 
 def likely(pairs: DataFrame, classes: DataFrame, least: int, deviations: float) -> DataFrame:
@@ -346,31 +391,20 @@ def likely(pairs: DataFrame, classes: DataFrame, least: int, deviations: float)
     return fit.select("a", "b", "a_sketch", "b_sketch", "a_n_shingles", "b_n_shingles").mapInArrow(run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, least: int, narrow: bool) -> DataFrame:
-    """The (a, b) among ``pairs`` with 100 * intersection >= ``least`` * union on the full sets.
-
-    ``narrow``: first compare 16 bits of each item, which only ever adds to an intersection, so that few full sets travel.
-    """
-    ends = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep")))
-    wanted = classes.select("rep", "did", "thash").join(ends, "rep", "left_semi")
+def full_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(rep, items) of the classes in ``wanted`` (rep)."""
+    named = classes.select("rep", "did", "thash").join(wanted, "rep", "left_semi")
     # rows that repeat fully have equal sets
-    sets = written(sets_of(docs, wanted, size), "sets").groupBy("rep").agg(F.max("items").alias("items"))
+    return written(sets_of(docs, named, size), "sets").groupBy("rep").agg(F.max("items").alias("items"))
 
-    def joined(pairs: DataFrame, given: DataFrame) -> DataFrame:
-        left, right = (given.select(*[F.col(c).alias(f"{side}_{c}") for c in given.columns]) for side in "ab")
-        return pairs.join(left, F.col("a") == F.col("a_rep")).join(right, F.col("b") == F.col("b_rep"))
 
-    def alike(shared: F.Column, n: F.Column) -> F.Column:
-        return 100 * shared >= least * (n - shared)
-
-    if narrow:
-        bits = F.array_distinct(F.transform("items", lambda x: (x.bitwiseAND(F.lit(0xFFFF)) - 0x8000).cast("short")))
-        cut = sets.select("rep", F.size("items").alias("n"), bits.alias("bits"))
-        merged = F.least(F.col("a_n") - F.size("a_bits"), F.col("b_n") - F.size("b_bits"))
-        most = F.size(F.array_intersect("a_bits", "b_bits")) + merged
-        pairs = written(joined(pairs, cut).filter(alike(most, F.col("a_n") + F.col("b_n"))).select("a", "b"), "narrowed")
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, least: int) -> DataFrame:
+    """The (a, b) among ``pairs`` with 100 * intersection >= ``least`` * union on the full sets."""
+    sets = full_sets(pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))), classes, docs, size)
+    left, right = (sets.select(*[F.col(c).alias(f"{side}_{c}") for c in sets.columns]) for side in "ab")
+    both = pairs.join(left, F.col("a") == F.col("a_rep")).join(right, F.col("b") == F.col("b_rep"))
     shared = F.size(F.array_intersect("a_items", "b_items"))
-    return joined(pairs, sets).filter(alike(shared, F.size("a_items") + F.size("b_items"))).select("a", "b")
+    return both.filter(100 * shared >= least * (F.size("a_items") + F.size("b_items") - shared)).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -412,6 +446,16 @@ def classes_of(base: DataFrame) -> tuple[DataFrame, DataFrame]:
     return names, written(rows.groupBy("did", "thash", "rep").agg(same).select("rep", "did", "thash", "x.*"), "classes")
 
 
+def sized(inside: DataFrame, weight: F.Column) -> DataFrame:
+    """``inside`` (region, sub, rep, comp, ...), a written table, with main, n_main, n_other: the largest component of a group, the weight
+    of its rows and that of the others. Groups of one component go."""
+    parts = inside.groupBy("region", "sub", "comp").agg(F.sum(weight).alias("n"))
+    groups = parts.groupBy("region", "sub").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top"))
+    groups = groups.select("region", "sub", "n", F.col("top.comp").alias("main"), F.col("top.n").alias("n_main"), (F.col("n") - F.col("top.n")).alias("n_other"))
+    groups = written(groups.filter("n_other > 0"), "groups")
+    return hot_join(inside, groups.drop("n"), ["region", "sub"], groups.orderBy(F.desc("n"), "region", "sub"))
+
+
 def open_groups(rows: DataFrame, comps: DataFrame, extra: int, crowd: int, first: bool) -> DataFrame:
     """The rows (region, sub, rep, comp, main, n_main, n_other, once) of groups that hold two components or more.
 
@@ -426,11 +470,7 @@ def open_groups(rows: DataFrame, comps: DataFrame, extra: int, crowd: int, first
     inside = hot_join(marked, sizes, "region", sizes.orderBy(F.desc("n"), "region"))
     inside = inside.select("region", F.when(crowded, sub).otherwise(0).alias("sub"), "rep", "comp", (~crowded if extra else F.lit(True)).alias("once"))
     inside = written(inside, "inside")
-    parts = inside.groupBy("region", "sub", "comp").agg(F.count("*").alias("n"))
-    groups = parts.groupBy("region", "sub").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top"))
-    groups = groups.select("region", "sub", "n", F.col("top.comp").alias("main"), F.col("top.n").alias("n_main"), (F.col("n") - F.col("top.n")).alias("n_other"))
-    groups = written(groups.filter("n_other > 0"), "groups")
-    return hot_join(inside, groups.drop("n"), ["region", "sub"], groups.orderBy(F.desc("n"), "region", "sub"))
+    return sized(inside, F.lit(1))
 
 
 def grouped(
@@ -449,17 +489,20 @@ def grouped(
     names, classes = classes_of(base)
     rows = written(in_order(regions(classes)), "regions")
     pairs = written(next_ones(rows).distinct(), "near")
-    links = written(confirmed(written(likely(pairs, classes, least, deviations), "likely"), classes, docs, size, least, False), "links")
-    tested, comps = pairs, components(links)
+    links = written(confirmed(written(likely(pairs, classes, least, deviations), "likely"), classes, docs, size, least), "links")
+    comps = components(links)
     crowds = rows.groupBy("region").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).limit(1).count()
     for extra in range(EXTRA if crowds else 0, -1, -1):
         open_ = written(open_groups(rows, comps, extra, crowd, extra == EXTRA or not crowds), "open")
         if not open_.limit(1).count():
             continue
-        known = open_.join(classes.select("rep", "n_shingles", "marks", "sketch"), "rep")
-        pairs = written(compared(known, least, deviations, cell).join(tested, ["a", "b"], "left_anti"), "near")
-        more = written(confirmed(pairs, classes, docs, size, least, True), "links")
-        tested, links = tested.union(pairs), links.union(more)
+        sketches = classes.select("rep", "n_shingles", "marks", "sketch")
+        some = written(hopeful(open_.join(sketches, "rep"), least, deviations, cell), "hopeful")
+        # a cell is bounded in rows and in shingles
+        again = sized(some, 1 + F.floor(F.col("n_shingles") / ITEMS)).drop("n_shingles")
+        sets = sketches.join(full_sets(some.select("rep"), classes, docs, size), "rep")
+        more = written(connected(again.join(sets, "rep"), least, deviations, cell), "links")
+        links = links.union(more)
         comps = components(links)
     comps = comps.union(comps.select(F.col("comp").alias("rep"), "comp").distinct())  # the least end of a component too
     linked = written(names.join(comps, "rep"), "linked")
