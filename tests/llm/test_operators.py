@@ -415,7 +415,7 @@ def test_near_dedup_of_one_crowd(spark):
 
 
 def test_pairs_of_a_crowd_stay_in_their_cells(spark, monkeypatch):
-    """Near copies whose pairs all come in question: what is written is in proportion to the rows and trees, not to the pairs (7,140)."""
+    """Near copies, 2,983 pairs of them candidates: what is written is in proportion to the rows and trees, not to the pairs."""
     rng, counts, written = random.Random(43), {}, near_dedup.written
     base = pick(60, rng).split()
     rows = []
